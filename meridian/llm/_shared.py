@@ -69,6 +69,9 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII white space and punctuation, for operators that look at words without it.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -126,9 +129,9 @@ def pieces(content: np.ndarray, bounds: np.ndarray, limit: int = _PIECE):
         at = to
 
 
-def word_spans(content: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(content: np.ndarray, bounds: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a piece; rows end words."""
-    inside = ~_SPACE[content]
+    inside = ~gap[content]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     cuts = bounds[(bounds > 0) & (bounds < len(content))]
@@ -139,12 +142,12 @@ def word_spans(content: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def hash_words(content: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the end). A-Z count as a-z if lower."""
+def hash_words(content: np.ndarray, bounds: np.ndarray, lower: bool = True, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the end). A-Z count as a-z if lower; bytes of gap end words."""
     hashes, starts_at = [], []
     for a, b in pieces(content, bounds):
         part = content[a:b]
-        starts, ends = word_spans(part, bounds - a)
+        starts, ends = word_spans(part, bounds - a, gap)
         power, inverse = _power_tables(len(part) + 1)
         value = (_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
         total = np.concatenate(([np.uint64(0)], np.cumsum(value * power[: len(part)], dtype=np.uint64)))
@@ -154,3 +157,37 @@ def hash_words(content: np.ndarray, bounds: np.ndarray, lower: bool = True) -> t
     if not hashes:
         return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), bounds)
+
+
+class HashIndex:
+    """Places of 64-bit hashes in a sorted table, looked up an array at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(hashes), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], hashes[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            out[left[hit]] = at[hit]
+            go = ~hit & (at + 1 < end)
+            left, at, end, wanted = left[go], at[go] + 1, end[go], wanted[go]
+        return out
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: int = 0):
+    """Parts of a batch whose text column is about most_bytes; a longer text is a part of its own."""
+    text = batch.column(column)
+    sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most_bytes, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to

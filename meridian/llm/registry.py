@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 from ._shared import table
 
 #: Fixed rules of the url query: (host, path prefix).
@@ -16,6 +17,12 @@ ALLOW = ["example.com/en/7", "net/de/"]
 WEIGHTS, SHARE, MOST = [5, 2, 1], 1.5, 2.0
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
@@ -40,11 +47,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_queue(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, MOST).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_tokens": op2_tokens,
     "op3_urls": op3_urls,
     "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
 }
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {}

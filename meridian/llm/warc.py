@@ -140,7 +140,7 @@ class Reader:
             waiting = stream.unconsumed_tail
             if out:
                 yield out
-        self.at -= len(stream.unused_data) + len(waiting)
+        self.at -= len(stream.unused_data)  # at the end, unconsumed_tail may repeat it
 
 
 def _until(mark: bytes, held: bytearray, source: Iterator[bytes]) -> bytes:
