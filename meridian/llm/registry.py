@@ -55,12 +55,19 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_tokens": op2_tokens,
     "op3_urls": op3_urls,
     "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
+    "op8_ppm": op8_ppm,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
