@@ -61,6 +61,12 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_tokens": op2_tokens,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
+    "op10_imatch": op10_imatch,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
