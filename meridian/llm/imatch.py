@@ -56,7 +56,7 @@ def lexicon(texts: DataFrame, low: float, high: float, subsets: int) -> DataFram
 
 def _zeros(hexadecimal: Column) -> Column:
     """Leading zero bits of eight hexadecimal digits."""
-    return F.lit(32) - F.length(F.regexp_replace(F.conv(hexadecimal, 16, 2), "^0+", ""))
+    return (F.lit(32) - F.length(F.regexp_replace(F.conv(hexadecimal, 16, 2), "^0+", ""))).cast("byte")
 
 
 def _level(n: Column) -> Column:
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs."""
     slim = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     known = lexicon(slim, low, high, subsets)
-    known = known.unionByName(slim.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("array<int>").alias("zeros"))).persist()
+    known = known.unionByName(slim.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("array<tinyint>").alias("zeros"))).persist()
     if known.count() <= max_broadcast:
         known = F.broadcast(known)
 
@@ -147,9 +147,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     )
     rows = rows.select("slot", "place", "doc_id", F.col("n_chars").cast("long"), F.explode(F.filter(units, lambda u: u["text"].isNotNull())).alias("unit"))
     rows = rows.select("slot", "place", "doc_id", "n_chars", "unit.which", "unit.text")
-    each = rows.withColumn("term", F.explode(F.concat(F.array(F.lit("")), terms(F.col("text"))))).join(known, "term")
-    about = F.when(F.col("term") == "", F.struct("doc_id", "n_chars", F.md5(F.col("text").cast("binary")).alias("md5"), F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256)).alias("sha256")))
-    found = each.groupBy("slot", "place", "which").agg(F.collect_list(F.when(F.col("term") != "", F.struct("term", "zeros"))).alias("found"), F.first(about, True).alias("about"))
+    # what isn't a term rides on an empty one, so that the other rows are small
+    sha256 = F.when(F.col("which") == 1, F.sha2(F.col("text").cast("binary"), 256))
+    about = F.struct("doc_id", "n_chars", F.md5(F.col("text").cast("binary")).alias("md5"), sha256.alias("sha256"))
+    listed = F.concat(F.array(F.struct(F.lit("").alias("term"), about.alias("about"))), F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(None).alias("about"))))
+    each = rows.select("slot", "place", "which", F.explode(listed).alias("x")).select("slot", "place", "which", "x.term", "x.about").join(known, "term")
+    found = each.groupBy("slot", "place", "which").agg(F.collect_list(F.when(F.col("term") != "", F.struct("term", "zeros"))).alias("found"), F.first("about", True).alias("about"))
     hashed = found.select(
         "slot", "place", "which", "about", _level(F.size("found")).alias("level"), fingerprint_arrays(F.col("found"), subsets).alias("hashes"), F.when(F.size("found") == 0, F.col("about.md5")).alias("raw")
     )
