@@ -62,6 +62,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of df with the largest counts, at most limit of them; rows of nearly the same count stay or go together.
+
+    A histogram over logarithmic steps of the count gives the threshold: a few
+    thousand rows reach the driver, whatever the size of df, and nothing is sorted.
+    """
+    step = F.floor(F.log2(F.col(count)) * 64).cast("int")
+    total, least = 0, None
+    for value, rows in sorted(df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if total + rows > limit:
+            break
+        total, least = total + rows, value
+    return df.where(step >= least) if least is not None else df.limit(0)
+
+
 # ---------------------------------------------------------------------------
 # Words of whole Arrow batches as 64-bit hashes, without a Python object a word
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import PUNCTUATED, HashIndex, fold, hash_words, mix, slices, text_bytes
+from ._shared import PUNCTUATED, HashIndex, fold, hash_words, mix, most_frequent, slices, text_bytes
 
 #: Bounds of the fitted sample and of the model.
 MAX_DOCS, MAX_CALIBRATION, MAX_WORDS, MAX_PAIRS = 5_000, 6_000, 1 << 19, 1 << 19
@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
         table.unpersist()
         return None
     often = F.col("kb") + F.col("kg")
-    w = words.where(often > 1).orderBy(F.desc(often), "word").limit(max_words).toPandas()
-    b = table.where("bad + good > 1").orderBy(F.desc(F.col("bad") + F.col("good")), "h", "w").limit(max_pairs).toPandas()
+    w = most_frequent(words.withColumn("often", often).where("often > 1"), "often", max_words).toPandas()
+    b = most_frequent(table.withColumn("often", F.col("bad") + F.col("good")).where("often > 1"), "often", max_pairs).toPandas()
     table.unpersist()
 
     hashes = w["word"].to_numpy(np.int64).view(np.uint64)
