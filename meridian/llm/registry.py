@@ -41,6 +41,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import fair_queue
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokens": op2_tokens,
     "op3_urls": op3_urls,
     "op4_warc": op4_warc,
+    "op6_neardup": op6_neardup,
     "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
     "op10_imatch": op10_imatch,
