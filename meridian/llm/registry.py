@@ -73,6 +73,13 @@ def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import fingerprints
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_neardup": op6_neardup,
     "op7_mixing": op7_mixing,
     "op8_ppm": op8_ppm,
+    "op9_linededup": op9_linededup,
     "op10_imatch": op10_imatch,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
