@@ -63,16 +63,22 @@ def _level(n: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(F.log2(n)).cast("int"))
 
 
-def fingerprint_arrays(found: Column, subsets: int) -> Column:
-    """Hashes of the subsets in density level, then in level + 1; "" where a subset is empty. found: array of (term, zeros)."""
-    level = _level(F.size(found))
-    dense = F.sort_array(F.filter(found, lambda x: F.array_max(x["zeros"]) >= level))
+def with_hashes(texts: DataFrame, subsets: int) -> DataFrame:
+    """Adds level, and hashes of the subsets in that density and the next; "" where a subset is empty.
 
-    def hashed(j: int, more: int) -> Column:
-        own = F.transform(F.filter(dense, lambda x: x["zeros"][j] >= level + more), lambda x: x["term"])
-        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, _HEX)).otherwise(F.lit(""))
+    texts: found, an array of (term, zeros). Terms that are in no subset go
+    first, and columns that are used often are columns of their own, so that
+    they are computed once.
+    """
+    texts = texts.withColumn("level", _level(F.size("found")))
+    texts = texts.withColumn("dense", F.sort_array(F.filter("found", lambda x: F.array_max(x["zeros"]) >= F.col("level"))))
+
+    def joined(j: int, more: int) -> Column:
+        return F.array_join(F.transform(F.filter("dense", lambda x: x["zeros"][j] >= F.col("level") + more), lambda x: x["term"]), " ")
 
-    return F.array(*(hashed(j, more) for more in (0, 1) for j in range(subsets)))
+    lists = F.array(*(joined(j, more) for more in (0, 1) for j in range(subsets)))
+    hashes = F.transform(lists, lambda x: F.when(x == "", x).otherwise(F.substring(F.md5(x.cast("binary")), 1, _HEX)))
+    return texts.withColumn("hashes", hashes).drop("found", "dense")
 
 
 def likeness(level_a: Column, a: Column, level_b: Column, b: Column, raw_a: Column, raw_b: Column, subsets: int) -> Column:
@@ -153,9 +159,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     listed = F.concat(F.array(F.struct(F.lit("").alias("term"), about.alias("about"))), F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(None).alias("about"))))
     each = rows.select("slot", "place", "which", F.explode(listed).alias("x")).select("slot", "place", "which", "x.term", "x.about").join(known, "term")
     found = each.groupBy("slot", "place", "which").agg(F.collect_list(F.when(F.col("term") != "", F.struct("term", "zeros"))).alias("found"), F.first("about", True).alias("about"))
-    hashed = found.select(
-        "slot", "place", "which", "about", _level(F.size("found")).alias("level"), fingerprint_arrays(F.col("found"), subsets).alias("hashes"), F.when(F.size("found") == 0, F.col("about.md5")).alias("raw")
-    )
+    hashed = with_hashes(found.withColumn("raw", F.when(F.size("found") == 0, F.col("about.md5"))), subsets)
     text = F.coalesce(F.concat(F.lit("raw:"), "raw"), F.concat_ws(":", F.col("level").cast("string"), F.array_join("hashes", ",")))
     hashed = hashed.withColumn("print", F.struct("level", "hashes", "raw", text.alias("text")))
     pick = lambda w, c: F.first(F.when(F.col("which") == w, F.col(c)), True)
