@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._shared import PUNCTUATED, HashIndex, fold, hash_words, mix, most_frequent, slices, text_bytes
 
 #: Bounds of the fitted sample and of the model.
-MAX_DOCS, MAX_CALIBRATION, MAX_WORDS, MAX_PAIRS = 5_000, 6_000, 1 << 19, 1 << 19
+MAX_DOCS, MAX_CALIBRATION, MAX_WORDS, MAX_PAIRS = 5_000, 6_000, 1 << 18, 1 << 18
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,16 +71,19 @@ class Model:
             return np.zeros(len(n)), n
         at = self.word_index.find(hashes)
         known = at >= 0
-        p = np.where(known[:, None], self.lower[at], self.unseen)
+        p = np.tile(self.unseen, (len(at), 1))
+        p[known] = self.lower[at[known]]
         opens = np.zeros(len(hashes), bool)
         opens[first[:-1][n > 0]] = True
         before = np.concatenate(([-1], at[:-1]))
         before[opens] = -1
         both = np.flatnonzero(known & (before >= 0))
         if len(both):
-            hit = self.pair_index.find(pair_hash(hashes[both - 1], hashes[both]))
+            seen = np.zeros((len(both), 2))
+            if len(self.pairs):
+                hit = self.pair_index.find(pair_hash(hashes[both - 1], hashes[both]))
+                seen[hit >= 0] = self.counts[hit[hit >= 0]]
             context = self.context[before[both]]
-            seen = np.where((hit >= 0)[:, None], self.counts[hit], 0.0)
             joint = (seen + self.weight[before[both]] * p[both]) / np.maximum(context, 1)
             p[both] = np.where(context > 0, joint, p[both])
         llr = np.concatenate(([0.0], np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))))
@@ -162,31 +165,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
         table.unpersist()
         return None
     often = F.col("kb") + F.col("kg")
-    w = most_frequent(words.withColumn("often", often).where("often > 1"), "often", max_words).toPandas()
-    b = most_frequent(table.withColumn("often", F.col("bad") + F.col("good")).where("often > 1"), "often", max_pairs).toPandas()
+    w = most_frequent(words.withColumn("often", often).where("often > 1"), "often", max_words).toArrow()
+    b = most_frequent(table.withColumn("often", F.col("bad") + F.col("good")).where("often > 1"), "often", max_pairs).toArrow()
     table.unpersist()
 
-    hashes = w["word"].to_numpy(np.int64).view(np.uint64)
+    def columns(rows: pa.Table, *names: str) -> np.ndarray:
+        return np.stack([rows[n].to_numpy() for n in names], 1).astype(np.float64)
+
+    hashes = w["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    w, hashes = w.iloc[order], hashes[order]
+    hashes = hashes[order]
     total = np.array([k_bad, k_good], float)
     every = total.sum() + types + 1
-    k = w[["kb", "kg"]].to_numpy(np.float64)
+    k = columns(w, "kb", "kg")[order]
     shared = (k.sum(1) + 1) / every
     own = _excess(k, total * (k.sum(1) / total.sum())[:, None], over, z)
     left = 1 - own.sum(0) / total
     lower = own / total + left * shared[:, None]
 
-    context = w[["nb", "ng"]].to_numpy(np.float64)
-    before = b["h"].to_numpy(np.int64).view(np.uint64)
+    context = columns(w, "nb", "ng")[order]
+    before = b["h"].to_numpy().view(np.uint64)
     at = HashIndex(hashes).find(before)
-    c = b[["bad", "good"]].to_numpy(np.float64)
+    c = columns(b, "bad", "good")
     opened = np.where((at >= 0)[:, None], context[at] if len(context) else 0.0, 0.0)
     share = c.sum(1) / np.maximum(opened.sum(1), 1)
     extra = np.where((at >= 0)[:, None], _excess(c, opened * share[:, None], over, z), 0)
     weight = context.copy()
     np.subtract.at(weight, at[at >= 0], extra[at >= 0])
-    pairs = pair_hash(before, b["w"].to_numpy(np.int64).view(np.uint64))
+    pairs = pair_hash(before, b["w"].to_numpy().view(np.uint64))
     tells = np.flatnonzero(extra.sum(1) > 0)
     by = tells[np.argsort(pairs[tells])]
     model = Model(hashes, lower, context, weight, pairs[by], extra[by], left / every)
@@ -199,11 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
                 x, n = held.value.evidence(*text_bytes(part.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), part.column(1)], ["x", "n", "toxic"])
 
-    seen_rows = sample.where("calibrate").select("text", "toxic").mapInArrow(look, "x double, n long, toxic int").toPandas()
-    if seen_rows["toxic"].nunique() < 2:  # too few rows to set some aside
-        seen_rows = sample.select("text", "toxic").mapInArrow(look, "x double, n long, toxic int").toPandas()
+    seen_rows = sample.where("calibrate").select("text", "toxic").mapInArrow(look, "x double, n long, toxic int").toArrow()
+    if len(set(seen_rows["toxic"].to_pylist())) < 2:  # too few rows to set some aside
+        seen_rows = sample.select("text", "toxic").mapInArrow(look, "x double, n long, toxic int").toArrow()
     held.unpersist()
-    model.curve = fit_curve(*(seen_rows[c].to_numpy(np.float64) for c in ("x", "n", "toxic")))
+    model.curve = fit_curve(*(seen_rows[c].to_numpy().astype(np.float64) for c in ("x", "n", "toxic")))
     return model
 
 
