@@ -100,4 +100,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+        k AS (SELECT digest, max(page_id) AS keeper FROM p WHERE octet_length(body) >= 1000 GROUP BY digest)
+        SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+        FROM p LEFT JOIN k ON p.digest = k.digest AND octet_length(body) >= 1000
+    """,
+    "op7_mixing": """
+        WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS s, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::BIGINT AS size,
+                          md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        z AS (SELECT s, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY s) - 1 AS rank FROM d GROUP BY s),
+        w AS (SELECT *, [5, 2, 1][(rank % 3 + 1)::INTEGER] AS weight, source_size * 2.0::DOUBLE AS cap FROM z),
+        l AS (SELECT *, cap / weight AS own,
+                     (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
+        f AS (SELECT s, source_size, CASE WHEN own <= level THEN cap ELSE weight * (SELECT arg_min(level, (own, rank)) FROM l WHERE own > level) END AS target FROM l),
+        q AS (SELECT d.*, f.source_size, f.target, coalesce(sum(size) OVER (PARTITION BY d.s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN f USING (s)),
+        g AS (SELECT *, least(size, greatest(0, floor(target) - start))::BIGINT AS a, least(size, greatest(0, floor(target) - source_size - start))::BIGINT AS b FROM q)
+        SELECT doc_id, size, source_size, target, a + b AS taken, ((a > 0)::INTEGER + (b > 0)::INTEGER) AS times FROM g
+    """,
+}

@@ -489,3 +489,23 @@ def test_word_hashes():
     long = "ab " * 800_000
     hashes, first = hash_words(*text_bytes(pa.array(["q", long, "ab"])))
     assert np.diff(first).tolist() == [1, 800_000, 1] and len(set(hashes[1:].tolist())) == 1
+
+
+# -- SQL ---------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    expected = con.sql(registry.ORACLE_SQL[name])
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(df.columns) == sorted(expected.columns)
+    names = sorted(df.columns)
+    left = sorted((tuple(r[c] for c in names) for r in df.collect()), key=str)
+    right = sorted((tuple(r[expected.columns.index(c)] for c in names) for r in expected.fetchall()), key=str)
+    assert left == right
