@@ -537,6 +537,33 @@ def beam_trace(spark, d):
     return ev.prune_trace(g.search_trace(_asked(base), shards[0], K, 50))
 
 
+@query("predicted_exit")
+def predicted_exit(spark, d):
+    from ..operators import earlyexit
+
+    base, shards = _graph(spark, d)
+    asked = _asked(base)
+    trace = g.search_trace(asked, shards[0], K, 50).persist()
+    return earlyexit.stops(trace, earlyexit.train(trace, nn.knn(asked, base, K), K))
+
+
+@query("tail_heads", f"WITH {Q}, h AS (SELECT vec_id//10 AS head_id, e AS c FROM v WHERE vec_id % 10 = 0), t AS (SELECT vec_id, head_id, {L2.format(a='e', b='c')} AS dist FROM v, h WHERE vec_id % 10 <> 0) SELECT vec_id, rank, head_id, round(dist,6)+0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, head_id) AS rank FROM t) WHERE rank <= 4")
+def tail_heads(spark, d):
+    """Heads are every tenth vector; the others are searched for their nearest heads."""
+    base = _base(spark, d)
+    heads = ivf.chosen_centroids(base, 10, 1 << 40)
+    tails = base.where(F.col(nn.ID) % 10 != 0)
+    near = ivf.probe(tails.select(F.col(nn.ID).alias(nn.QUERY), F.col("embedding").alias("q")), heads, 4)
+    return near.select(F.col(nn.QUERY).alias(nn.ID), "rank", F.col("centroid_id").alias("head_id"), r6(F.col("dist")).alias("dist"))
+
+
+@query("page_probe", "SELECT (vec_id//16)%4 AS device, count(*) AS n, sum((vec_id//16)//4)::BIGINT AS blocks FROM embeddings GROUP BY 1")
+def page_probe(spark, d):
+    """What a read-back of striped pages must find on each device."""
+    rows = _base(spark, d).select(*stripe(F.floor(F.col(nn.ID) / 16).cast("long"), 4))
+    return rows.groupBy("device").agg(F.count("*").alias("n"), F.sum("block").alias("blocks"))
+
+
 # -- analytics over events ---------------------------------------------------
 
 _PCT = "list_sort(list(value))[least(floor(count(*)*{p}/100.0)::BIGINT+1, count(*))]"
