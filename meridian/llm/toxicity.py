@@ -3,8 +3,10 @@
 Two interpolated Kneser-Ney bigram models over words, one of toxic and one of
 ordinary texts, share what they back off to: the continuation counts (distinct
 words before a word) of both classes together. What is discounted from a
-class's own count is not a constant but what the shared counts already explain:
-up to (1 + ``over``) times the expected count and ``z`` standard errors. An
+class's own count is not a constant but all that tells nothing: (1 + ``over``)
+times the count that the other class's rate explains, and ``z`` standard errors
+of the count that the shared rate does; of a few values of z, texts that gave no
+counts choose. An
 expression too rare or too evenly used to tell the classes apart therefore gets
 the same probability from both, and neither language nor subject moves a score.
 A text's evidence is the mean over its words of the two log-likelihoods'
@@ -135,9 +137,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(before[new].view(np.int64)), pa.array(words[new].view(np.int64)), pa.array(bad), pa.array(total - bad)], ["h", "w", "bad", "good"])
 
 
-def _excess(counts: np.ndarray, expected: np.ndarray, over: float, z: float) -> np.ndarray:
-    """What is left of a class's counts when all that is explained by the shared ones is discounted."""
-    return np.maximum(counts - np.maximum(0.75, (1 + over) * expected + z * np.sqrt(expected)), 0)
+def _excess(counts: np.ndarray, total: np.ndarray, over: float, z: float) -> np.ndarray:
+    """[expression, class] what is left of a class's counts when all that the other class and chance explain is discounted.
+
+    total: [class] or [expression, class], out of how many the counts are.
+    """
+    total = np.broadcast_to(total, counts.shape)
+    rate = counts / np.maximum(total, 1)
+    pooled = total * (counts.sum(1) / np.maximum(total.sum(1), 1))[:, None]
+    return np.maximum(counts - np.maximum(0.75, (1 + over) * total * rate[:, ::-1] + z * np.sqrt(pooled)), 0)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int, max_calibration: int, id_column: str, text_column: str) -> DataFrame:
@@ -145,13 +153,15 @@ def _labelled(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int,
     rows = labels.select(F.col(id_column).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     rows = rows.where(learn).groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("id"))
     rows = rows.withColumn("calibrate", F.pmod(F.hash("id"), F.lit(4)) == 0)
+    least = rows.where("not calibrate").groupBy("toxic").count().agg(F.min("count")).first()[0] or 0
+    even = min(max_docs, least)
     bad, good = rows.where("toxic = 1 and not calibrate"), rows.where("toxic = 0 and not calibrate")
-    picked = bad.orderBy("order").limit(max_docs).unionByName(good.orderBy("order").limit(max_docs)).unionByName(rows.where("calibrate").orderBy("order").limit(max_calibration))
+    picked = bad.orderBy("order").limit(even).unionByName(good.orderBy("order").limit(even)).unionByName(rows.where("calibrate").orderBy("order").limit(max_calibration))
     slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return slim.join(F.broadcast(picked), "id").select("text", "toxic", "calibrate")  # at most 2 * max_docs + max_calibration ids
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS, max_calibration: int = MAX_CALIBRATION, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, over: float = 1.0, z: float = 4.0, id_column: str = "doc_id", text_column: str = "text") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS, max_calibration: int = MAX_CALIBRATION, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS, over: float = 4.0, z: tuple[float, ...] = (4.0, 6.0, 8.0), id_column: str = "doc_id", text_column: str = "text") -> Model | None:
     """Fit on rows of labels (id, toxic) for which learn, a condition on "id", holds."""
     sample = _labelled(docs, labels, F.lit(True) if learn is None else learn, max_docs, max_calibration, id_column, text_column)
     table = sample.where("not calibrate").select("text", "toxic").mapInArrow(_pairs, "h long, w long, bad long, good long")
@@ -179,38 +189,50 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
     every = total.sum() + types + 1
     k = columns(w, "kb", "kg")[order]
     shared = (k.sum(1) + 1) / every
-    own = _excess(k, total * (k.sum(1) / total.sum())[:, None], over, z)
-    left = 1 - own.sum(0) / total
-    lower = own / total + left * shared[:, None]
-
     context = columns(w, "nb", "ng")[order]
     before = b["h"].to_numpy().view(np.uint64)
     at = HashIndex(hashes).find(before)
     c = columns(b, "bad", "good")
     opened = np.where((at >= 0)[:, None], context[at] if len(context) else 0.0, 0.0)
-    share = c.sum(1) / np.maximum(opened.sum(1), 1)
-    extra = np.where((at >= 0)[:, None], _excess(c, opened * share[:, None], over, z), 0)
-    weight = context.copy()
-    np.subtract.at(weight, at[at >= 0], extra[at >= 0])
     pairs = pair_hash(before, b["w"].to_numpy().view(np.uint64))
-    tells = np.flatnonzero(extra.sum(1) > 0)
-    by = tells[np.argsort(pairs[tells])]
-    model = Model(hashes, lower, context, weight, pairs[by], extra[by], left / every)
 
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    def discounted(z: float) -> Model:
+        own = _excess(k, total, over, z)
+        left = 1 - own.sum(0) / total
+        extra = np.where((at >= 0)[:, None], _excess(c, opened, over, z), 0)
+        weight = context.copy()
+        np.subtract.at(weight, at[at >= 0], extra[at >= 0])
+        tells = np.flatnonzero(extra.sum(1) > 0)
+        by = tells[np.argsort(pairs[tells])]
+        return Model(hashes, own / total + left * shared[:, None], context, weight, pairs[by], extra[by], left / every)
+
+    models = [discounted(x) for x in z]
+    held = docs.sparkSession.sparkContext.broadcast(models)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                x, n = held.value.evidence(*text_bytes(part.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), part.column(1)], ["x", "n", "toxic"])
+                content, bounds = text_bytes(part.column(0))
+                seen = [m.evidence(content, bounds) for m in held.value]
+                lists = pa.array(list(np.stack([x for x, _ in seen], 1)), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(seen[0][1]), part.column(1)], ["x", "n", "toxic"])
+
+    def looked(rows: DataFrame) -> pa.Table:
+        return rows.select("text", "toxic").mapInArrow(look, "x array<double>, n long, toxic int").toArrow()
 
-    seen_rows = sample.where("calibrate").select("text", "toxic").mapInArrow(look, "x double, n long, toxic int").toArrow()
+    seen_rows = looked(sample.where("calibrate"))
     if len(set(seen_rows["toxic"].to_pylist())) < 2:  # too few rows to set some aside
-        seen_rows = sample.select("text", "toxic").mapInArrow(look, "x double, n long, toxic int").toArrow()
+        seen_rows = looked(sample)
     held.unpersist()
-    model.curve = fit_curve(*(seen_rows[c].to_numpy().astype(np.float64) for c in ("x", "n", "toxic")))
-    return model
+    x, n, y = np.array(seen_rows["x"].to_pylist()), seen_rows["n"].to_numpy(), seen_rows["toxic"].to_numpy().astype(float)
+    best = None
+    for i, model in enumerate(models):
+        model.curve = fit_curve(x[:, i], n, y)
+        p = 1 / (1 + np.exp(-np.clip(features(x[:, i], n) @ model.curve, -30, 30)))
+        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    return best[1]
 
 
 def score(docs: DataFrame, model: Model | None, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
