@@ -44,7 +44,9 @@ def test_template_lines_find_their_copies(spark):
         if line_jaccard(*pair) >= 0.8:
             pairs.append(pair)
     signed = linededup.signed_lines(linededup.line_rows(spark.createDataFrame([(i, x) for i, x in enumerate(sum(pairs, ()))], "id long, text string"), "text", "id"), 8, 3)
-    keys = {r.h: set(r["keys"]) for r in signed.collect()}
+    keys = {}
+    for r in signed.collect():
+        keys.setdefault(r.h, set()).update(r["keys"])
     hashes = [r.h for r in linededup.line_rows(spark.createDataFrame([(x,) for x in sum(pairs, ())], "text string"), "text").select("h", "line").collect()]
     met = sum(bool(keys[hashes[2 * i]] & keys[hashes[2 * i + 1]]) for i in range(200))
     assert linked(spark, pairs) >= met  # all that share a band, or that their neighbours lead to
@@ -59,3 +61,27 @@ def test_prefix_pairs_hold_every_similar_pair(spark):
         got = {(r.a, r.b) for r in linededup._prefix_pairs(rows, threshold).collect()}
         want = {(i, j) for j in range(len(lines)) for i in range(j) if i // 2 != j // 2 and line_jaccard(lines[i], lines[j]) >= threshold}
         assert want <= got
+
+
+@pytest.mark.parametrize(("words", "lengths", "least"), [(1, (12, 15), 0.97), (2, (9, 12), 0.97), (3, (9, 12), 0.97), (5, (5, 9), 0.97), (7, (4, 8), 0.97), (9, (4, 8), 0.97), (12, (4, 8), 0.9), (1, (50, 60), 0.97)])
+def test_similar_lines_share_a_band(spark, words, lengths, least):
+    """Lines with a letter changed, and with a mark appended, by length; the figures are in the README."""
+    rng = random.Random(words)
+    lines, pairs = [], []
+    while len(pairs) < 400:
+        line = " ".join(letters(rng, rng.randint(*lengths)) for _ in range(words))
+        other = line + rng.choice("!.") if rng.random() < 0.5 else edited(rng, line)
+        if line_jaccard(line, other) >= 0.8 and "  " not in other:
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [line, other]
+    rows = linededup.line_rows(spark.createDataFrame(list(enumerate(lines)), "id long, text string"), "text", "id")
+    keys = {}
+    for r in linededup.signed_lines(rows, linededup.BANDS, linededup.ROWS).collect():
+        keys.setdefault(r.first, set()).update(r["keys"])
+    recall = sum(bool(keys[i] & keys[j]) for i, j in pairs) / len(pairs)
+    print(f"recall {words} words of {lengths}: {recall:.3f}")
+    assert recall >= least
+
+
+def test_short_lines_find_their_copies(spark):
+    assert linked(spark, [("Leave comment", "Leave comment!"), ("Subscribetoday", "Subscribetoday.")]) == 2
