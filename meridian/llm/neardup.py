@@ -11,8 +11,8 @@ Exact copies are collapsed first. Signatures are cut into bands; texts that
 share a band are candidates. Within a band's bucket, however large, each member
 is compared with one representative, not with each other; where members then
 still lie in different components, the bucket is taken again with another
-representative, and in the end pair by pair, in sets of bounded size. Candidates are verified by the exact similarity of their whole
-texts, and verified links are joined to classes by distributed union-find.
+representative, and in the end every pair of its members in different
+components. Candidates are verified by the exact similarity of their whole texts, and verified links are joined to classes by distributed union-find.
 Nothing of a bucket or class is collected in one task.
 
 Null texts count as empty; all empty texts are copies of each other. A text of
@@ -36,8 +36,6 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: How often buckets whose members lie in several components are taken again.
 ROUNDS = 3
-#: Members of a bucket that may be compared pair by pair in the end.
-MANY = 64
 
 _A = np.uint64(0xD6E8FEB86659FD93)
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -171,27 +169,19 @@ def _candidates(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _remaining(left: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): members of a bucket that still lie in different components.
+    """(a, b): all pairs of a bucket's members that still lie in different components.
 
-    Buckets of more than MANY are first divided: members that share another
-    band too stay together, as texts this similar share a third of their bands.
-    What is still too many after that is compared with representatives.
+    Pairs of components are formed first, so that a large component isn't joined
+    with itself. Their number grows with the square of the components of a bucket.
     """
-    placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    size = placed.groupBy("key").agg(F.count("*").alias("n"))
-    # tables between the steps keep each join's plan small
-    sized = cut(placed.join(size, "key"), "sized")
-    few, many = sized.where(F.col("n") <= MANY), sized.where(F.col("n") > MANY)
-    finer = many.select("key", "node", "root").join(left.select("node", F.col("key").alias("other")), "node").where("key <> other")
-    finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "root").distinct()
-    finer = cut(finer, "finer")
-    finer = cut(finer.join(finer.groupBy("key").agg(F.count("*").alias("n")), "key"), "finer")
-    sets = few.select("key", "node", "root").unionByName(finer.where(F.col("n") <= MANY).select("key", "node", "root"))
-    sets = cut(sets, "sets")
-    x, y = sets.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), sets.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b")
-    pairs = cut(pairs.distinct(), "pairs")
-    return pairs.unionByName(_candidates(finer.where(F.col("n") > MANY).select("key", "node"), 2)).distinct()
+    placed = cut(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    heads = placed.select("key", "root").distinct()
+    x, y = heads.withColumnRenamed("root", "ra"), heads.withColumnRenamed("root", "rb")
+    # a table between the steps keeps each join's plan small
+    apart = cut(x.join(y, "key").where("ra < rb"), "apart")
+    met = apart.join(placed.select("key", F.col("root").alias("ra"), F.col("node").alias("x")), ["key", "ra"])
+    met = met.join(placed.select("key", F.col("root").alias("rb"), F.col("node").alias("y")), ["key", "rb"])
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:

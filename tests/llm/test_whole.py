@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from meridian.llm import linededup
+from meridian.llm import linededup, neardup
 from meridian.shipping import ship
 
 
@@ -85,3 +85,12 @@ def test_similar_lines_share_a_band(spark, words, lengths, least):
 
 def test_short_lines_find_their_copies(spark):
     assert linked(spark, [("Leave comment", "Leave comment!"), ("Subscribetoday", "Subscribetoday.")]) == 2
+
+
+def test_large_buckets_are_compared_whole(spark):
+    """A bucket of 300 members, each in a component of its own: one pair of members is as good as another."""
+    left = spark.createDataFrame([(f"{i:032x}", k) for i in range(300) for k in (1, 2)], "node string, key long")
+    roots = spark.createDataFrame([(f"{i:032x}", f"{i // 2 * 2:032x}") for i in range(20)], "node string, root string")
+    got = neardup._remaining(left, roots)
+    assert got.count() == 300 * 299 // 2 - 10  # all but those of one component
+    assert got.distinct().count() == got.count()
