@@ -16,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where a local session names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"file://{tempfile.gettempdir()}/meridian-scratch"
         spark.sparkContext.setCheckpointDir(shared)
         spark.conf.set("spark.checkpoint.dir", shared)
@@ -197,12 +199,12 @@ class HashIndex:
         return out
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, column: int = 0):
-    """Parts of a batch whose text column is about most_bytes; a longer text is a part of its own."""
-    text = batch.column(column)
-    sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, *columns: int, most_rows: int = 1 << 16):
+    """Parts of a batch whose text columns (the first, if none is named) are about most_bytes, of most_rows at most; a longer text is a part of its own."""
+    lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or (0,))
+    sizes = np.concatenate(([0], np.cumsum(lengths)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most_bytes, "right")) - 1)
+        to = min(at + most_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + most_bytes, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._shared import cut, drop_cut
@@ -28,8 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksum, which the job that writes them gathers."""
+    seen = Observation()
+    now = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return now, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -39,14 +42,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pre-aggregated and its joins are splittable. Each round is written to the
     shared folder, and nothing but a count and a checksum reaches the driver.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(now)
+    now, before = _observed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
-        then = cut(_small_star(_large_star(now)), "edges")
+        then, after = _observed(_small_star(_large_star(now)))
         drop_cut(now)
-        now, after = then, _state(then)
+        now = then
         if after == before:
             break
         before = after

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from meridian.llm import linededup, neardup
+from meridian.llm._shared import text_bytes
 from meridian.shipping import ship
 
 
@@ -87,10 +89,54 @@ def test_short_lines_find_their_copies(spark):
     assert linked(spark, [("Leave comment", "Leave comment!"), ("Subscribetoday", "Subscribetoday.")]) == 2
 
 
-def test_large_buckets_are_compared_whole(spark):
-    """A bucket of 300 members, each in a component of its own: one pair of members is as good as another."""
-    left = spark.createDataFrame([(f"{i:032x}", k) for i in range(300) for k in (1, 2)], "node string, key long")
-    roots = spark.createDataFrame([(f"{i:032x}", f"{i // 2 * 2:032x}") for i in range(20)], "node string, root string")
-    got = neardup._remaining(left, roots)
-    assert got.count() == 300 * 299 // 2 - 10  # all but those of one component
-    assert got.distinct().count() == got.count()
+def test_large_buckets_are_finished_exactly(spark, monkeypatch):
+    """Split buckets of templates whose members differ by words: links join what brute force joins, in one block and in many."""
+    rng = random.Random(3)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words + words[:5] if rng.random() < 0.3 else words))
+    nodes = [f"{i:03d}" for i in range(len(texts))]
+    multisets = [neardup.shingles(*text_bytes(pa.array([t])))[1:] for t in texts]
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if neardup.probability_jaccard(multisets[i], multisets[j]) >= 0.8 - 1e-9}
+    want = grouped(len(texts), similar)
+    assert 3 < len(set(want)) < len(texts)
+    left = spark.createDataFrame([(n, k) for n in nodes for k in (1, 2)], "node string, key long")
+    roots = spark.createDataFrame([("001", "000")] if (0, 1) in similar else [], "node string, root string")
+    rows = spark.createDataFrame([(n, t, len(t)) for n, t in zip(nodes, texts, strict=True)], "node string, text string, bytes int")
+    for block in (1024, 16):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found = {(int(r.a), int(r.b)) for r in neardup._in_blocks(left, roots, rows, 0.8, 5).collect()}
+        assert found <= similar
+        assert grouped(len(texts), found | (similar & {(0, 1)})) == want
+
+
+def grouped(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_similarities_of_many_pairs_at_once():
+    rng = random.Random(5)
+    pairs = [["", ""], ["", "a b"]] + [[" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2)] for _ in range(200)]
+    sides = [neardup.shingles(*text_bytes(pa.array([p[k] for p in pairs])), 2) for k in (0, 1)]
+    got = neardup.similarities(*sides, len(pairs))
+    bound = neardup._upper_bounds(*sides, len(pairs), len(pairs), columns=7)
+    for i in range(len(pairs)):
+        x, y = ((s[1][s[0] == i], s[2][s[0] == i]) for s in sides)
+        exact = neardup.probability_jaccard(x, y)
+        assert abs(got[i] - exact) < 1e-12
+        assert bound[i, i] >= exact - 1e-6 or not len(x[0])
