@@ -1,22 +1,25 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in shuffled order, once for each time
-that a document may be taken. A document's virtual finish time is the number of
-its source's words up to and with it, divided by the source's target weight.
-The documents of all sources are range-sorted by finish time and truncated
-where the total budget is spent: with weights that are the targets themselves
-that is virtual time 1, and of the document that a source then serves only the
-words up to the cut are taken. So every source ends within a word of its
-target.
+that a document may be taken. Every (document, round) is an entry of the mix,
+with a virtual finish time: the number of its source's words up to and with it,
+divided by the source's target weight. The entries of all sources are
+range-sorted by finish time and truncated where the total budget is spent: with
+weights that are the targets themselves that is virtual time 1, and of the
+entry that a source then serves only the words up to the cut are taken. So
+every source ends within a word of its target. What is taken of a document is
+the sum over its entries.
 
 Cumulative words never need a source in one task: shuffle keys are uniform, so
 (source, leading bits of the key) makes blocks of bounded expected size; words
 are summed within blocks, and over the far smaller table of blocks.
 
 Nulls: a null text has size 0, a null source is a source of its own that sorts
-last. Repeated rows share their key and are ordered by size among themselves,
-so reruns agree. Empty tables give an empty mix. A source without words has
-target 0.
+last, documents without an id are shuffled by their text. Repeated rows share
+their key and are ordered by size among themselves, so reruns agree. A very
+long text is only counted; more than the cut of it isn't looked at again. Empty
+tables give an empty mix. A source without words has target 0. Other columns,
+whatever their names, come along only where keep names them.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ._shared import WORD
 
-#: Hexadecimal digits of the shuffle key that name a block: 4096 blocks a source.
-BLOCK_DIGITS = 3
+#: Hexadecimal digits of the shuffle key that name a block: 65,536 blocks a source.
+BLOCK_DIGITS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -78,22 +81,37 @@ def fair_queue(docs: DataFrame, weights: list[int], share: float, most: float, i
         F.col(id_column).alias("doc_id"),
         source_key(F.col(source_column)).alias("source_key"),
         word_count(F.col(text_column)).alias("size"),
-        F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.md5(F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text_column), F.lit("")).cast("binary")))).cast("binary")).alias("key"),
         *([F.struct(*(c.alias(n) for n, c in keep.items())).alias("kept")] if keep else []),
     ).withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
     words = rows.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
     goal = targets(words.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, share, most)
     upto = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = words.withColumn("before_block", F.coalesce(F.sum("words").over(upto), F.lit(0))).drop("words").join(goal, "source_key")
-    inside = Window.partitionBy("source_key", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    queued = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(blocks, ["source_key", "block"])
-    start = F.col("before_block") + F.col("within")
-    taken, times = F.lit(0).cast("long"), F.lit(0)
-    for turn in range(math.ceil(most)):
-        left = F.floor("target").cast("long") - turn * F.col("source_size") - start
-        served = F.least(F.col("size"), F.greatest(F.lit(0), left)).cast("long")
-        taken, times = taken + served, times + (served > 0).cast("int")
-    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
-    mixed = queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), times.alias("times"), finish.alias("finish"), *([F.col("kept")] if keep else []))
-    mixed = mixed.orderBy("finish", "doc_id")
+    order = Window.partitionBy("source_key", "block").orderBy("key", "doc_id", "size")
+    queued = rows.withColumn("place", F.row_number().over(order)).withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    queued = queued.join(blocks, ["source_key", "block"])
+    entries = entered(queued, math.ceil(most))
+    about = ["doc_id", "size", "source_size", "target", *(["kept"] if keep else [])]
+    mixed = entries.groupBy("source_key", "block", "place").agg(
+        *(F.first(c).alias(c) for c in about),
+        F.sum("words").alias("taken"),
+        F.sum((F.col("words") > 0).cast("int")).cast("int").alias("times"),
+        F.min("finish").alias("finish"),
+    )
+    mixed = mixed.select(*about[:4], "taken", "times", "finish", *about[4:]).orderBy("finish", "doc_id")
     return mixed.select(*mixed.columns[:7], *(F.col("kept")[n].alias(n) for n in keep)) if keep else mixed
+
+
+def entered(queued: DataFrame, rounds: int) -> DataFrame:
+    """The rows of queued once a round, with finish and words: how many of its words lie before the cut.
+
+    The groups of a document's entries stay where its queue's block is: no
+    entry is shuffled before the final sort.
+    """
+    entries = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    begin = F.col("round") * F.col("source_size") + F.col("before_block") + F.col("within")
+    finish = F.when(F.col("target") > 0, (begin + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
+    left = F.floor("target").cast("long") - begin
+    words = F.when(left > 0, F.least("size", left)).otherwise(F.lit(0)).cast("long")
+    return entries.withColumn("finish", finish).withColumn("words", words)

@@ -111,7 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op7_mixing": """
         WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS s, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)::BIGINT AS size,
-                          md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+                          md5(coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, '')))) AS key FROM documents),
         z AS (SELECT s, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY s) - 1 AS rank FROM d GROUP BY s),
         w AS (SELECT *, [5, 2, 1][(rank % 3 + 1)::INTEGER] AS weight, source_size * 2.0::DOUBLE AS cap FROM z),
         l AS (SELECT *, cap / weight AS own,
