@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,19 @@ def drop_cut(df: DataFrame) -> None:
         hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Delete tables of cut() that nothing reads any more, and let shuffles and broadcasts of finished jobs go.
+
+    Spark deletes those when the driver's garbage is collected, which may be
+    long after; many small jobs would keep all their files until then.
+    """
+    for one in tables:
+        if one is not None:
+            drop_cut(one)
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, hash_words, mix, slices, text_bytes
+from ._shared import cut, hash_words, mix, release, slices, text_bytes
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -361,8 +361,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, b
             new = verified(pairs)
         else:
             new = _in_blocks(left, roots, texts, threshold, width)
-        links = cut(new if links is None else links.unionByName(new), "links")
-        roots = cut(components(links), "roots")
+        known, links = links, cut(new if links is None else links.unionByName(new), "links")
+        old, roots = roots, cut(components(links), "roots")
+        release(docs.sparkSession, known, old)
         if turn < rounds:
             # buckets of more than the two that were compared, if they are split
             placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

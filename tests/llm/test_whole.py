@@ -60,7 +60,7 @@ def test_prefix_pairs_hold_every_similar_pair(spark):
     lines += [edited(rng, x) for x in lines] + [x + "!" for x in lines] + ["abc", "abcd", "aaaaaaaaaaaa"]
     for threshold in (0.5, 0.8):
         rows = spark.createDataFrame([(i, i // 2, x) for i, x in enumerate(lines)], "h long, root long, line string")
-        got = {(r.a, r.b) for r in linededup._prefix_pairs(rows, threshold).collect()}
+        got = {(r.a, r.b) for r in linededup._prefix_pairs(rows, threshold, []).collect()}
         want = {(i, j) for j in range(len(lines)) for i in range(j) if i // 2 != j // 2 and line_jaccard(lines[i], lines[j]) >= threshold}
         assert want <= got
 
