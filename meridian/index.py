@@ -60,10 +60,20 @@ class VectorIndex:
     def graph(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/graph")
 
-    def _changes(self, kind: str) -> DataFrame | None:
-        n = self.meta["changes"]
-        found = [f"{self.path}/{kind}-{i}" for i in range(n) if f"{kind}-{i}" in files.listing(self.path)]
-        return self.spark.read.parquet(*found) if found else None
+    def _changes(self) -> DataFrame | None:
+        """vec_id and embedding after the last change of each id; the embedding is null where that deletes."""
+        here, parts = set(files.listing(self.path)), []
+        for i in range(self.meta["changes"]):
+            for kind in ("added", "deleted"):
+                if f"{kind}-{i}" in here:
+                    rows = self.spark.read.parquet(f"{self.path}/{kind}-{i}").withColumn("change", F.lit(i))
+                    parts.append(rows if kind == "added" else rows.withColumn(VECTOR, F.lit(None).cast("array<float>")))
+        if not parts:
+            return None
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        return every.groupBy(ID).agg(F.max_by(F.struct(VECTOR), "change").alias("last")).select(ID, f"last.{VECTOR}")
 
     def _queries(self, queries: DataFrame | np.ndarray | Sequence) -> DataFrame:
         if not isinstance(queries, DataFrame):
@@ -89,14 +99,16 @@ class VectorIndex:
             n = max(1, -(-rows.count() * (self.meta["dims"] * 8 + self.meta["degree"] * 8) // g.SHARD_BYTES))
             parts = [rows if n == 1 else rows.where(F.pmod(F.xxhash64(ID), F.lit(n)) == i) for i in range(n)]
             self._shards = [g.shard(p, g.medoid(p)) for p in parts]
-        added, gone = self._changes("added"), self._changes("deleted")
-        spare = topk if gone is None else topk + ef_search
-        results = [g.beam_search(asked, self._shards, spare, max(ef_search, spare), early_exit_policy)]
-        if added is not None:
-            results.append(knn(asked, added, spare))
-        if gone is not None:
-            results = [r.join(gone.select(ID).distinct(), ID, "left_anti") for r in results]
-        return merge_top_k(results, topk)
+        changed = self._changes()
+        if changed is None:
+            return merge_top_k([g.beam_search(asked, self._shards, topk, max(ef_search, topk), early_exit_policy)], topk)
+        ids, spare = changed.select(ID), topk + ef_search
+        found = g.beam_search(asked, self._shards, spare, spare, early_exit_policy).join(ids, ID, "left_anti")
+        # queries around which more than ef_search vectors have changed are searched again, exactly
+        enough = found.groupBy(QUERY).count().where(F.col("count") >= topk).select(QUERY)
+        again = knn(asked.join(enough, QUERY, "left_anti"), self.graph().select(ID, VECTOR).join(ids, ID, "left_anti"), topk)
+        parts = [found.join(enough, QUERY, "left_semi"), again, knn(asked, changed.where(F.col(VECTOR).isNotNull()), topk)]
+        return merge_top_k(parts, topk)
 
     def search_arrays(self, queries: np.ndarray, topk: int = 10, **options) -> tuple[np.ndarray, np.ndarray]:
         """ids and distances as matrices; places not filled are -1 and infinite."""

@@ -39,6 +39,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def parse_points(lines: DataFrame) -> DataFrame:
     """stem, block and the numbers of each result block: a sweep header applies to all that follows, a result line opens a block, a recall line closes it.
 
+    What a block says of a parameter itself goes before its header; the pipe width is 1 where neither says.
+
     lines: stem, line, text. A log is the unit of order; logs are as many as runs.
     """
     text = F.trim(F.regexp_replace("text", ANSI, ""))
@@ -49,10 +51,11 @@ def parse_points(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("header", F.last(F.when(sweep, F.col("t")), True).over(along)).where("block > 0")
     kind = F.regexp_extract("t", LATENCY, 1)
     pick = lambda condition, value: F.first(F.when(condition, value), True)
-    parameters = F.concat_ws(" ", F.first("header", True), F.array_join(F.collect_list(F.when(F.col("t").rlike(PARAMETERS), F.col("t"))), " "))
+    own = F.sort_array(F.collect_list(F.when(F.col("t").rlike(PARAMETERS), F.struct("line", "t"))))
+    parameters = F.concat_ws(" ", F.array_join(F.transform(own, lambda x: x["t"]), " "), F.min_by("header", "line"))
     numbers = {f"{k}_{n}": pick(kind == k.capitalize(), field(F.regexp_extract("t", LATENCY, 2), p)) for k in ("query", "batch") for n, p in (("avg", "avg"), ("p50", "p50"), ("p90", "p90"), ("p99", "p99"), ("max", "max"))}
     points = rows.groupBy("stem", "block").agg(
-        F.regexp_extract(F.first("header", True), SWEEP, 1).alias("system"),
+        F.regexp_extract(F.min_by("header", "line"), SWEEP, 1).alias("system"),
         parameters.alias("parameters"),
         pick(F.col("t").rlike(QPS), F.regexp_extract("t", QPS, 1).cast("double")).alias("qps"),
         pick(F.col("t").rlike(RECALL), F.regexp_extract("t", RECALL, 2).cast("double")).alias("recall"),
@@ -61,6 +64,7 @@ def parse_points(lines: DataFrame) -> DataFrame:
     names = {"ef": "ef_search", "num_blocks": "num_blocks", "mini_batch": "mini_batch", "queries_per_block": "queries_per_block", "pipe_width": "pipe_width"}
     for n, p in names.items():
         points = points.withColumn(n, field(F.col("parameters"), p).cast("long"))
+    points = points.withColumn("pipe_width", F.coalesce("pipe_width", F.lit(1).cast("long")))
     return points.where("qps is not null").withColumn("blocks", F.coalesce("mini_batch", "num_blocks")).drop("parameters")
 
 

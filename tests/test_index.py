@@ -11,6 +11,7 @@ from meridian.operators import evaluate as ev
 from meridian.operators import graph as g
 from meridian.operators import ivf, kmeans
 from meridian.operators import knn as nn
+from meridian.plans import bench
 from meridian.streaming import search as st
 
 
@@ -70,6 +71,33 @@ def test_add_and_delete(spark, points, tmp_path):
     assert ids[1, 0] == 105 and 5 not in ids and 110 not in ids
 
 
+def test_changes_apply_in_their_order(spark, points, tmp_path):
+    _, vectors = points
+    rows = {r.vec_id: list(r.embedding) for r in vectors.where("vec_id < 30").collect()}
+    schema = "vec_id long, embedding array<float>"
+    own = VectorIndex.build(spark.createDataFrame(list(rows.items()), schema), str(tmp_path / "changes"), degree=8)
+    own.delete(spark.createDataFrame([(7,)], "vec_id long"))
+    own.add(spark.createDataFrame([(7, rows[7]), (5, [x + 100 for x in rows[5]])], schema))
+    ids, distances = own.search_arrays([rows[7], rows[5]], topk=1, ef_search=20)
+    assert ids[0, 0] == 7 and distances[0, 0] == 0
+    assert ids[1, 0] != 5
+    own.delete(spark.createDataFrame([(i,) for i in range(20)], "vec_id long"))
+    ids, _ = own.search_arrays([rows[3]], topk=10, ef_search=2)
+    assert sorted(ids[0]) == list(range(20, 30))  # more deleted around it than ef_search
+
+
+def test_own_lines_go_before_the_header(spark):
+    text = ["Engine Sweep: num_blocks=108 ef_search=9", "===== Engine Result =====", "num_blocks=216 pipe_width=2", "QPS: 5.0", "Engine Sweep: num_blocks=1", "===== Engine Result =====", "QPS: 6.0"]
+    lines = spark.createDataFrame([("s", i, t) for i, t in enumerate(text)], "stem string, line int, text string")
+    got = {r.qps: (r.num_blocks, r.ef, r.pipe_width) for r in bench.parse_points(lines).collect()}
+    assert got == {5.0: (216, 9, 2), 6.0: (1, None, 1)}
+
+
+def test_repeated_queries_are_numbered_on(spark, points):
+    asked = nn.as_queries(points[1].where("vec_id in (3, 8)"), 3)
+    assert sorted((r.query_id, r["round"]) for r in asked.collect()) == [(3, 0), (8, 0), (12, 1), (17, 1), (21, 2), (26, 2)]
+
+
 def test_cycles_give_distinct_ids():
     x = np.arange(6.0)[:, None]
     graph = g.Shard(np.arange(6) * 10, x, np.array([0, 2, 4, 6, 8, 10, 11]), np.array([1, 0, 0, 2, 1, 3, 2, 4, 3, 5, 0]), 0)
