@@ -48,11 +48,15 @@ class VectorIndex:
             raise MeridianError("there are no vectors")
         if dims[0] != dims[1]:
             raise MeridianError("vectors of different dimensions")
-        edges = g.exact_edges(base, 2 * degree)
-        edges = g.refine(edges, base, degree) if refine else g.prune(edges, base, degree)
-        graph = base.join(g.adjacency(edges), ID, "left").withColumn(g.NEIGHBORS, F.coalesce(g.NEIGHBORS, F.array().cast("array<long>")))
-        graph.write.mode("overwrite").parquet(f"{path}/graph")
-        files.write(f"{path}/meta.json", [json.dumps({"dims": dims[0], "degree": degree, "changes": 0}).encode()])
+        # each shard is a graph of its own: no edge leaves it
+        shards = max(1, -(-base.count() * (dims[0] * 8 + degree * 8) // g.SHARD_BYTES))
+        for i in range(shards):
+            own = base if shards == 1 else base.where(F.pmod(F.xxhash64(ID), F.lit(shards)) == i)
+            edges = g.exact_edges(own, 2 * degree)
+            edges = g.refine(edges, own, degree) if refine else g.prune(edges, own, degree)
+            graph = own.join(g.adjacency(edges), ID, "left").withColumn(g.NEIGHBORS, F.coalesce(g.NEIGHBORS, F.array().cast("array<long>")))
+            graph.withColumn("shard", F.lit(i)).write.mode("append" if i else "overwrite").parquet(f"{path}/graph")
+        files.write(f"{path}/meta.json", [json.dumps({"dims": dims[0], "degree": degree, "changes": 0, "shards": shards}).encode()])
         return cls(spark, path)
 
     load = classmethod(lambda cls, spark, path: cls(spark, path))
@@ -96,8 +100,7 @@ class VectorIndex:
         ship(self.spark)
         if self._shards is None:
             rows = self.graph()
-            n = max(1, -(-rows.count() * (self.meta["dims"] * 8 + self.meta["degree"] * 8) // g.SHARD_BYTES))
-            parts = [rows if n == 1 else rows.where(F.pmod(F.xxhash64(ID), F.lit(n)) == i) for i in range(n)]
+            parts = [p for p in (rows.where(F.col("shard") == i) for i in range(self.meta["shards"])) if not p.isEmpty()]
             self._shards = [g.shard(p, g.medoid(p)) for p in parts]
         changed = self._changes()
         if changed is None:

@@ -9,7 +9,7 @@ searched as several shards whose results are merged.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -231,12 +231,17 @@ def early_exit_features(trace: DataFrame) -> DataFrame:
     return trace.withColumn("gap_ratio", gap)
 
 
-def shard_graph(vectors: DataFrame, edges: DataFrame, shard_bytes: int = SHARD_BYTES, row_bytes: int = 1024) -> list[Shard]:
-    """The graph as shards of bounded size, each with its own medoid; edges between shards are left out."""
-    rows = vectors.join(adjacency(edges), ID, "left").withColumn(NEIGHBORS, F.coalesce(NEIGHBORS, F.array().cast("array<long>")))
+def shard_graph(vectors: DataFrame, link: Callable[[DataFrame], DataFrame], shard_bytes: int = SHARD_BYTES, row_bytes: int = 1024) -> list[Shard]:
+    """The graph as shards of bounded size, each with its own medoid and with link(its vectors) as its edges.
+
+    No edge leaves a shard, so a search of all of them finds what one of the whole finds.
+    """
     n = max(1, -(-vectors.count() * row_bytes // shard_bytes))
     out = []
     for i in range(n):
-        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64(ID), F.lit(n)) == i)
-        out.append(shard(own, medoid(own)))
+        own = vectors if n == 1 else vectors.where(F.pmod(F.xxhash64(ID), F.lit(n)) == i)
+        if n > 1 and own.isEmpty():
+            continue
+        rows = own.join(adjacency(link(own)), ID, "left").withColumn(NEIGHBORS, F.coalesce(NEIGHBORS, F.array().cast("array<long>")))
+        out.append(shard(rows, medoid(rows)))
     return out

@@ -499,7 +499,7 @@ def graph_medoid(spark, d):
 
 def _graph(spark, d, degree: int = 12):
     base = _base(spark, d)
-    return base, g.shard_graph(base, g.exact_edges(base, degree))
+    return base, g.shard_graph(base, lambda own: g.exact_edges(own, degree))
 
 
 @query("graph_prune")
