@@ -54,7 +54,10 @@ def test_template_lines_find_their_copies(spark):
     assert linked(spark, pairs) >= met  # all that share a band, or that their neighbours lead to
 
 
-def test_prefix_pairs_hold_every_similar_pair(spark):
+@pytest.mark.parametrize("slices", [1, 5])
+def test_prefix_pairs_hold_every_similar_pair(spark, monkeypatch, slices):
+    if slices > 1:
+        monkeypatch.setattr(linededup, "_slices", lambda spots: slices)
     rng = random.Random(6)
     lines = [f"{letters(rng, 3)} written by {letters(rng, rng.randrange(2, 9))} in {letters(rng, 4)}" for _ in range(60)]
     lines += [edited(rng, x) for x in lines] + [x + "!" for x in lines] + ["abc", "abcd", "aaaaaaaaaaaa"]
@@ -65,6 +68,16 @@ def test_prefix_pairs_hold_every_similar_pair(spark):
         assert want <= got
 
 
+def test_slices_follow_the_rows_that_meet(spark, monkeypatch):
+    spots = spark.createDataFrame([(t, h % 7, h) for t in range(3) for h in range(40)], "t long, root long, h long")
+    met = 3 * sum(1 for a in range(40) for b in range(a) if a % 7 != b % 7)
+    for least, share in ((100, 0), (1, 2), (1 << 20, 4)):
+        monkeypatch.setattr(linededup, "SLICE", least)
+        monkeypatch.setattr(linededup, "SHARE", share)
+        assert linededup._slices(spots) == -(-met // max(least, share * 120))
+    assert linededup._slices(spots.limit(0)) == 1
+
+
 @pytest.mark.parametrize(("words", "lengths", "least"), [(1, (12, 15), 0.97), (2, (9, 12), 0.97), (3, (9, 12), 0.97), (5, (5, 9), 0.97), (7, (4, 8), 0.97), (9, (4, 8), 0.97), (12, (4, 8), 0.9), (1, (50, 60), 0.97)])
 def test_similar_lines_share_a_band(spark, words, lengths, least):
     """Lines with a letter changed, and with a mark appended, by length; the figures are in the README."""
