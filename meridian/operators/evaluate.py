@@ -147,18 +147,18 @@ def streaks(rows: DataFrame, keys: list[str], order: str, improved: Column) -> D
     return rows.withColumn("no_improve", F.sum(1 - F.col("ok")).over(Window.partitionBy(*keys, "run").orderBy(order))).drop("ok", "run")
 
 
-def prune_trace(trace: DataFrame, warm_up: int = 10, patience: int = 8) -> DataFrame:
-    """query_id, step where a search may stop: after warm_up steps, patience of them without improvement.
+def prune_trace(trace: DataFrame, warm_up: int = 10, patience: int = 8, keys: tuple[str, ...] = (QUERY,)) -> DataFrame:
+    """The keys of a walk, and the step where a search may stop: after warm_up steps, patience of them without improvement.
 
     trace: query_id, step, found, top1, topk. A step improves if more was found
     or a distance shrank.
     """
-    along = Window.partitionBy(QUERY).orderBy("step")
+    along = Window.partitionBy(*keys).orderBy("step")
     better = (F.col("found") > F.lag("found").over(along)) | (F.col("top1") < F.lag("top1").over(along)) | (F.col("topk") < F.lag("topk").over(along))
     marked = trace.withColumn("better", F.coalesce(better, F.lit(True)))
-    run = streaks(marked, [QUERY], "step", F.col("better"))
+    run = streaks(marked, [*keys], "step", F.col("better"))
     stop = (F.col("step") >= warm_up) & (F.col("no_improve") >= patience)
-    return run.groupBy(QUERY).agg(F.coalesce(F.min(F.when(stop, F.col("step"))), F.lit(-1)).cast("long").alias("stop_step"))
+    return run.groupBy(*keys).agg(F.coalesce(F.min(F.when(stop, F.col("step"))), F.lit(-1)).cast("long").alias("stop_step"))
 
 
 def sticky(rows: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:

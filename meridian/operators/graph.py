@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import as_double, squared_l2
 from .knn import ID, QUERY, QUERY_VECTOR, VECTOR, _matrix, knn, merge_top_k, top_k
 
-NEIGHBORS = "neighbors"
+NEIGHBORS, SHARD = "neighbors", "shard"
 #: Bytes of a shard that is sent to executors.
 SHARD_BYTES = 256 << 20
 
@@ -115,6 +116,8 @@ class Shard:
     codes: np.ndarray | None = None
     books: np.ndarray | None = None
     entries: np.ndarray | None = None
+    #: Which of how many parts of the vectors it is.
+    part: tuple[int, int] = (0, 1)
 
     def steer(self, q: np.ndarray):
         """Distances by which the beam is ordered: of codes if there are any, else exact."""
@@ -207,8 +210,13 @@ def beam_search(queries: DataFrame, shards: list[Shard], k: int, ef: int, stop:
     return merge_top_k(parts, k)
 
 
+def search_traces(queries: DataFrame, shards: list[Shard], k: int, ef: int) -> DataFrame:
+    """query_id, shard, step, vec_id, found, top1, topk: every expansion of every query in every shard."""
+    return reduce(DataFrame.unionByName, (search_trace(queries, one, k, ef).withColumn(SHARD, F.lit(i)) for i, one in enumerate(shards)))
+
+
 def search_trace(queries: DataFrame, one: Shard, k: int, ef: int) -> DataFrame:
-    """query_id, step, vec_id, found, top1, topk: every expansion of every query."""
+    """query_id, step, vec_id, found, top1, topk: every expansion of every query in one shard."""
     held = queries.sparkSession.sparkContext.broadcast(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +239,22 @@ def early_exit_features(trace: DataFrame) -> DataFrame:
     return trace.withColumn("gap_ratio", gap)
 
 
+def _belongs(part: tuple[int, int]) -> Column:
+    """Whether a row is of part i of n."""
+    return F.lit(True) if part[1] == 1 else F.pmod(F.xxhash64(ID), F.lit(part[1])) == part[0]
+
+
+def exact_by_shard(queries: DataFrame, vectors: DataFrame, shards: list[Shard], k: int) -> DataFrame:
+    """query_id, shard, rank, vec_id, dist: the nearest vectors in each shard of shard_graph(vectors, ...)."""
+    return reduce(DataFrame.unionByName, (knn(queries, vectors.where(_belongs(one.part)), k).withColumn(SHARD, F.lit(i)) for i, one in enumerate(shards)))
+
+
+def to_base(found: DataFrame, names: DataFrame) -> DataFrame:
+    """found with the ids of a navigation graph replaced by those of the base; names: nav_id, vec_id."""
+    rows = found.withColumnRenamed(ID, "nav_id").join(names.select("nav_id", ID), "nav_id")
+    return rows.select(*found.columns)
+
+
 def shard_graph(vectors: DataFrame, link: Callable[[DataFrame], DataFrame], shard_bytes: int = SHARD_BYTES, row_bytes: int = 1024) -> list[Shard]:
     """The graph as shards of bounded size, each with its own medoid and with link(its vectors) as its edges.
 
@@ -239,9 +263,10 @@ def shard_graph(vectors: DataFrame, link: Callable[[DataFrame], DataFrame], shar
     n = max(1, -(-vectors.count() * row_bytes // shard_bytes))
     out = []
     for i in range(n):
-        own = vectors if n == 1 else vectors.where(F.pmod(F.xxhash64(ID), F.lit(n)) == i)
+        own = vectors.where(_belongs((i, n)))
         if n > 1 and own.isEmpty():
             continue
         rows = own.join(adjacency(link(own)), ID, "left").withColumn(NEIGHBORS, F.coalesce(NEIGHBORS, F.array().cast("array<long>")))
         out.append(shard(rows, medoid(rows)))
+        out[-1].part = (i, n)
     return out

@@ -262,6 +262,11 @@ def ivf_lists(spark, d):
     return ivf.list_lengths(_ivf(spark, d)[3])
 
 
+@query("ivf_list_ids", f"WITH {Q}, {_MEANS}, {_LISTS} SELECT centroid_id, (row_number() OVER (PARTITION BY centroid_id ORDER BY vec_id) - 1)::INTEGER AS place, vec_id FROM lists")
+def ivf_list_ids(spark, d):
+    return ivf.list_ids(_ivf(spark, d)[3])
+
+
 @query("ivf_search", f"WITH {_IVF} SELECT query_id, rank, vec_id, dist FROM found")
 def ivf_search(spark, d):
     base, centroids, asked, lists = _ivf(spark, d)
@@ -576,7 +581,7 @@ def beam_search_pruned(spark, d):
 @query("beam_trace")
 def beam_trace(spark, d):
     base, shards = _graph(spark, d)
-    return ev.prune_trace(g.search_trace(_asked(base), shards[0], K, 50))
+    return ev.prune_trace(g.search_traces(_asked(base), shards, K, 50), keys=(nn.QUERY, g.SHARD))
 
 
 @query("predicted_exit")
@@ -585,8 +590,17 @@ def predicted_exit(spark, d):
 
     base, shards = _graph(spark, d)
     asked = _asked(base)
-    trace = g.search_trace(asked, shards[0], K, 50).persist()
-    return earlyexit.stops(trace, earlyexit.train(trace, nn.knn(asked, base, K), K))
+    trace = g.search_traces(asked, shards, K, 50).persist()
+    return earlyexit.stops(trace, earlyexit.train(trace, g.exact_by_shard(asked, base, shards, K), K))
+
+
+@query("nav_translate", f"WITH {Q}, d AS (SELECT query_id, vec_id, {_QV} AS dist FROM q, v WHERE vec_id % 10 = 0) {TOP}")
+def nav_translate(spark, d):
+    """Every tenth vector is a node of the navigation graph; found nodes are named by their base ids."""
+    base = _base(spark, d)
+    names = base.where(F.col(nn.ID) % 10 == 0).select(F.floor(F.col(nn.ID) / 10).cast("long").alias("nav_id"), nn.ID)
+    nav = base.join(names, nn.ID).withColumn(nn.ID, F.col("nav_id"))
+    return _rounded(g.to_base(nn.knn(_asked(base), nav.select(nn.ID, "embedding"), K), names))
 
 
 @query("tail_heads", f"WITH {Q}, h AS (SELECT vec_id//10 AS head_id, e AS c FROM v WHERE vec_id % 10 = 0), t AS (SELECT vec_id, head_id, {L2.format(a='e', b='c')} AS dist FROM v, h WHERE vec_id % 10 <> 0) SELECT vec_id, rank, head_id, round(dist,6)+0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, head_id) AS rank FROM t) WHERE rank <= 4")
@@ -771,6 +785,13 @@ def bench_peak(spark, d):
     return bench.peak_by(_bench(spark, d), ["system", "ef"])
 
 
+@query("bench_verify", f"WITH {_BENCH}, e AS (SELECT system, max(qps) AS stated FROM b GROUP BY 1), w AS (SELECT system, qps, row_number() OVER (PARTITION BY system ORDER BY p99_ms >= 10, CASE WHEN p99_ms < 10 THEN -qps END, p99_ms, qps DESC) AS place FROM b) SELECT system, stated, qps AS measured, abs(qps - stated) <= 1 AS ok FROM e JOIN w USING (system) WHERE place = 1")
+def bench_verify(spark, d):
+    points = _bench(spark, d)
+    stated = bench.peak_by(points, ["system"]).withColumnRenamed("qps", "stated")
+    return bench.verify(points, stated, ["system"], 10.0, 1.0).select("system", "stated", "measured", "ok")
+
+
 @query("bench_sensitivity", f"WITH {_BENCH}, s AS (SELECT system, queries_per_block*pipe_width AS q, max(qps) AS qps FROM b GROUP BY 1,2) SELECT system, q, qps, round(qps/first_value(qps) OVER (PARTITION BY system ORDER BY q),6)+0.0 AS gain FROM s")
 def bench_sensitivity(spark, d):
     return bench.sensitivity(_bench(spark, d)).select("system", "q", "qps", r6(F.col("gain")).alias("gain"))

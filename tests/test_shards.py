@@ -1,0 +1,25 @@
+"""Graphs of several shards: every shard is walked, traced and compared with its own nearest vectors."""
+
+import numpy as np
+
+from meridian.operators import earlyexit, graph, knn
+from meridian.operators.evaluate import prune_trace
+
+
+def test_every_shard_is_traced(spark):
+    rng = np.random.default_rng(3)
+    base = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(240)], "vec_id long, embedding array<double>")
+    shards = graph.shard_graph(base, lambda own: graph.exact_edges(own, 8), shard_bytes=100 * 1024)
+    assert len(shards) == 3
+    asked = knn.as_queries(base.where("vec_id % 20 = 0"))
+    trace = graph.search_traces(asked, shards, 5, 30).persist()
+    for i, one in enumerate(shards):
+        assert {r.vec_id for r in trace.where(f"shard = {i}").select("vec_id").distinct().collect()} <= set(one.ids.tolist())
+    truth = graph.exact_by_shard(asked, base, shards, 5)
+    assert truth.count() == 12 * 3 * 5
+    assert truth.join(trace, ["query_id", "shard", "vec_id"]).count() >= 0.9 * 12 * 3 * 5
+    whole = {(r.query_id, r.vec_id) for r in knn.knn(asked, base, 5).collect()}
+    assert len(whole & {(r.query_id, r.vec_id) for r in trace.collect()}) >= 0.9 * len(whole)
+    assert prune_trace(trace, keys=("query_id", "shard")).count() == 12 * 3
+    stops = earlyexit.stops(trace, earlyexit.train(trace, truth, 5, trees=2, depth=2))
+    assert stops.select("query_id", "shard").distinct().count() == stops.count() == 12 * 3
