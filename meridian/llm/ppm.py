@@ -5,35 +5,41 @@ part. A symbol is coded in the longest context that the trie has; if it wasn't
 seen there, the escape (method C: distinct symbols / (occurrences + distinct
 symbols)) is coded and the next shorter context is tried, without the symbols
 of the longer one: symbol exclusion. As the trie doesn't change while texts are
-scored, what exclusion takes from a context depends only on the longer context
-that was left, so code lengths are sums of a few numbers kept with nodes and
-contexts, and are looked up for arrays of positions at once.
+scored, the code length of a symbol depends only on its gram, the symbol and
+the ``order`` bytes before it; and what exclusion takes from a context only on
+the longer context that was left, for which two numbers are kept.
 
 The text that is coded is the words, A-Z as a-z, with one space between, and an
 end symbol. Its probability is set against a base: words by their smoothed
 counts.
 
 Corpus statistics cover every training row: n-grams and words are counted a
-slice of texts at a time and summed by one shuffle. The trie that the executors
-get is bounded: the ``max_nodes`` most frequent nodes; a rarer one is escaped
-from. Word counts aren't bounded, so only the ``max_head`` most frequent are
-sent; the rest of a text's distinct words are joined by hash.
-
-Null texts count as empty: one token, the end. Repeated rows are scored alike.
-Without training rows every symbol is equally likely and N and V are 0.
+slice of texts at a time and summed by one shuffle. The trie is a table of nodes
+and one of contexts for each order, both whole. The executors are sent the code
+lengths of the ``max_nodes`` most frequent grams and the ``max_head`` most
+frequent words; a text's other distinct grams and words are joined by key, the
+grams with code lengths that are computed once for each, an order at a time.
+The two bounds set what is sent, not what comes out.
+
+Null texts count as empty: one token, the end. Repeated rows are scored alike,
+and ties among frequent grams or words don't matter. A very long text is one row
+of its distinct rarer grams and words. An empty table gives an empty one; other
+columns, whatever their names, aren't looked at. Without training rows every
+symbol is equally likely and N and V are 0.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import _LOWER, _SPACE, HashIndex, cut, drop_cut, fold, hash_words, mix, most_frequent, slices, text_bytes
+from ._shared import _LOWER, _SPACE, HashIndex, cut, fold, hash_words, mix, most_frequent, release, slices, text_bytes
 
 #: Bounds of what is sent to executors.
 MAX_NODES, MAX_HEAD = 1 << 21, 1 << 19
@@ -84,96 +90,9 @@ def grams(out: np.ndarray, places: np.ndarray, order: int) -> np.ndarray:
     return key[places]
 
 
-def _mask(order: int) -> np.uint64:
-    return np.uint64((1 << (8 * (order + 1))) - 1)
-
-
-def _tag(keys: np.ndarray, order: int) -> np.ndarray:
-    return mix(keys ^ np.uint64((order + 1) << 57))
-
-
-class Trie:
-    """Code lengths of a pruned trie; nodes are (order, gram, count)."""
-
-    def __init__(self, order: int, orders: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.order = order
-        node_hash, node_log, node_count, context_hash, escape, inner = [], [], [], [], [], []
-        below: tuple[np.ndarray, ...] | None = None
-        self.floor = -math.log(257)
-        for o in range(order + 1):
-            mine = orders == o
-            by = np.argsort(keys[mine])
-            k, c = keys[mine][by], counts[mine][by].astype(np.float64)
-            contexts, first = np.unique(k >> np.uint64(8), return_index=True)
-            d = np.diff(np.append(first, len(k))).astype(np.float64)
-            n = np.add.reduceat(c, first) if len(k) else np.empty(0)
-            owner = np.repeat(np.arange(len(contexts)), d.astype(np.int64))
-            node_hash.append(_tag(k, o))
-            node_log.append(np.log(c / (n + d)[owner]))
-            node_count.append(np.log(c))
-            context_hash.append(_tag(contexts, o))
-            escape.append(np.log(d / (n + d)))
-            if o == 0:
-                self.floor = -math.log(max(257 - len(k), 1))
-                inner.append(np.zeros(len(contexts)))
-                inner_escape = [np.zeros(len(contexts))]
-            else:
-                k0, c0, contexts0, n0, d0 = below
-                short = np.searchsorted(k0, k & _mask(o - 1))
-                short = np.minimum(short, len(k0) - 1)
-                taken = np.bincount(owner, np.where(k0[short] == (k & _mask(o - 1)), c0[short], 0), len(contexts))
-                parent = np.searchsorted(contexts0, contexts & (_mask(o - 2) if o > 1 else np.uint64(0)))
-                parent = np.minimum(parent, len(contexts0) - 1)
-                rest = np.maximum(d0[parent] - d, 0)
-                whole = np.maximum(n0[parent] - taken, 0) + rest
-                # leaving this context for the shorter one: log of what its counts are divided by, and of its own escape
-                inner.append(np.log(np.maximum(whole, 1e-300)))
-                inner_escape.append(np.where(rest > 0, np.log(np.maximum(rest, 1e-300)) - np.log(np.maximum(whole, 1e-300)), 0.0))
-            below = (k, c, contexts, n, d)
-        node_hash, context_hash = np.concatenate(node_hash), np.concatenate(context_hash)
-        by, of = np.argsort(node_hash), np.argsort(context_hash)
-        self.nodes, self.contexts = node_hash[by], context_hash[of]
-        self.node_log, self.node_count = (np.concatenate(x)[by].astype(np.float32) for x in (node_log, node_count))
-        self.escape, self.inner, self.inner_escape = (np.concatenate(x)[of].astype(np.float32) for x in (escape, inner, inner_escape))
-        self._index()
-
-    def _index(self) -> None:
-        self.node_index, self.context_index = HashIndex(self.nodes), HashIndex(self.contexts)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.endswith("_index")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._index()
-
-    def code(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the symbol of each gram of the highest order."""
-        out = np.zeros(len(keys))
-        if not len(self.nodes):
-            return out + self.floor
-        left = np.arange(len(keys))
-        divisor = np.full(len(keys), np.nan, np.float32)  # of the longer context that was left, or nan
-        pending = np.zeros(len(keys), np.float32)  # its escape in the shorter context
-        for o in range(self.order, -1, -1):
-            key = keys[left] & _mask(o)
-            at = self.node_index.find(_tag(key, o))
-            hit = at >= 0
-            where = at[hit]
-            d = divisor[hit]
-            out[left[hit]] += np.where(np.isnan(d), self.node_log[where], self.node_count[where] - d)
-            miss = ~hit
-            left, key, divisor, pending = left[miss], key[miss], divisor[miss], pending[miss]
-            if not len(left):
-                return out
-            at = self.context_index.find(_tag(key >> np.uint64(8), o))
-            there = at >= 0
-            fresh = np.isnan(divisor)
-            out[left] += np.where(there, np.where(fresh, self.escape[at], pending), 0)
-            divisor = np.where(there, self.inner[at], np.float32(np.nan) if o else divisor).astype(np.float32)
-            pending = np.where(there, self.inner_escape[at], 0).astype(np.float32)
-        out[left] += self.floor
-        return out
+def _mask(order: int) -> int:
+    """What a gram of a higher order shares with its suffix of this one."""
+    return (1 << (8 * (order + 1))) - 1
 
 
 def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,15 +126,44 @@ def corpus_counts(docs: DataFrame, order: int, text_column: str = "text") -> Dat
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train_trie(counts: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the most frequent nodes of all orders; a node's suffix is at least as frequent, so it is there too."""
-    masks = F.array(*(F.lit(int(_mask(o))) for o in range(order + 1)))
-    levels = counts.where("kind = 1").select("key", "n", F.posexplode(masks).alias("o", "mask"))
-    levels = levels.groupBy("o", F.col("key").bitwiseAND(F.col("mask")).alias("key")).agg(F.sum("n").alias("n"))
-    levels = cut(levels.where("n > 1 or o = 0"), "levels")
-    nodes = most_frequent(levels, "n", max_nodes).toArrow()
-    drop_cut(levels)
-    return Trie(order, nodes["o"].to_numpy(), nodes["key"].to_numpy().view(np.uint64), nodes["n"].to_numpy())
+def train_trie(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables by order: nodes (key, n), and contexts (context, n, d, t).
+
+    n are a context's occurrences, d its distinct symbols, t what these symbols
+    count in the next shorter context. Each order is summed from the next longer
+    one; at most 256 nodes share a suffix.
+    """
+    nodes, contexts = [counts.where("kind = 1").select("key", "n")], []
+    for o in range(order, -1, -1):
+        each = nodes[0].withColumn("m", F.lit(0).cast("long"))
+        if o:
+            suffix = F.col("key").bitwiseAND(F.lit(_mask(o - 1)))
+            each = nodes[0].withColumn("m", F.sum("n").over(Window.partitionBy(suffix)))
+            nodes.insert(0, cut(nodes[0].groupBy(suffix.alias("key")).agg(F.sum("n").alias("n")), "nodes"))
+        context = F.shiftright("key", 8).alias("context")
+        contexts.insert(0, cut(each.groupBy(context).agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.sum("m").alias("t")), "contexts"))
+    return nodes, contexts
+
+
+def code_lengths(grams: DataFrame, nodes: list[DataFrame], contexts: list[DataFrame], used: list[DataFrame]) -> DataFrame:
+    """(key, code): the natural log-probability of the symbol of each of the distinct grams key. Tables that the result reads are added to used."""
+    none = F.lit(0).cast("long")
+    left = grams.select("key", F.lit(0.0).alias("code"), none.alias("d1"), none.alias("t1"))
+    done = []
+    for o in range(len(nodes) - 1, -1, -1):
+        # orders 0 and 1 have at most 2^16 nodes
+        sized = F.broadcast if o < 2 else (lambda df: df)
+        here = left.withColumn("own", F.col("key").bitwiseAND(F.lit(_mask(o)))).withColumn("context", F.shiftright("own", 8))
+        here = here.join(sized(nodes[o].select(F.col("key").alias("own"), F.col("n").alias("c"))), "own", "left").join(sized(contexts[o]), "context", "left")
+        fresh = F.col("d") - F.col("d1")
+        whole = F.col("n") - F.col("t1") + fresh
+        step = F.when(F.col("c").isNotNull(), F.log(F.col("c") / whole)).when(fresh > 0, F.log(fresh / whole)).otherwise(0.0)
+        tried = cut(here.select("key", (F.col("code") + step).alias("code"), F.col("c").isNotNull().alias("found"), F.coalesce("d", "d1").alias("d1"), F.coalesce("t", "t1").alias("t1")), "tried")
+        used.append(tried)
+        done.append(tried.where("found").select("key", "code"))
+        left = tried.where("not found")
+    symbols = contexts[0].agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]
+    return reduce(DataFrame.unionByName, done, left.select("key", (F.col("code") - math.log(max(257 - symbols, 1))).alias("code")))
 
 
 def score(docs: DataFrame, learn: Column, order: int = ORDER, max_nodes: int = MAX_NODES, max_head: int = MAX_HEAD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -223,61 +171,84 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, max_nodes: int = M
     counts = cut(corpus_counts(docs.where(learn), order, text_column), "counts")
     words = counts.where("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = most_frequent(words, "n", max_head).toArrow()
-    hashes = head["key"].to_numpy().view(np.uint64)
-    by = np.argsort(hashes)
     floor = math.log10(total + distinct + 1)
-    known = (hashes[by], np.log10(head["n"].to_numpy()[by] + 1.0) - floor)
-    complete = len(hashes) == distinct
+    nodes, contexts = train_trie(counts, order)
+    often = most_frequent(nodes[order], "n", max_nodes).withColumn("context", F.shiftright("key", 8))
+    often = often.join(contexts[order].select("context", F.col("n").alias("whole"), "d"), "context").select("key", (F.col("n") / (F.col("whole") + F.col("d"))).alias("p"))
+
+    def head(df: DataFrame, value: str, tag) -> tuple[np.ndarray, np.ndarray]:
+        found = df.toArrow()
+        hashes = tag(found["key"].to_numpy().view(np.uint64))
+        by = np.argsort(hashes)
+        return hashes[by], np.log10(found[value].to_numpy()[by])
+
+    known = head(most_frequent(words, "n", max_head).select("key", (F.col("n") + 1).cast("double").alias("n")), "n", lambda x: x)
+    complete = len(known[0]) == distinct
+    hashes, logs = head(often, "p", mix)
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((train_trie(counts, order, max_nodes), *known))
+    held = spark.sparkContext.broadcast((hashes, logs.astype(np.float32), known[0], known[1] - floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hashes, logs = held.value
-        index = HashIndex(hashes)
+        gram_hashes, gram_logs, word_hashes, word_logs = held.value
+        gram_index, word_index = HashIndex(gram_hashes), HashIndex(word_hashes)
         for batch in batches:
             for part in slices(batch, 1 << 20):
                 content, bounds = text_bytes(part.column(0))
                 rows = part.num_rows
                 out, places, first = stream(content, bounds, order)
-                code = np.empty(len(places))
+                code, rare, owner = np.zeros(len(places)), [], []
                 for i in range(0, len(places), 1 << 20):
                     some = places[i : i + (1 << 20)]
-                    code[i : i + (1 << 20)] = trie.code(grams(out[some[0] - order : some[-1] + 1], some - (some[0] - order), order))
-                bits = np.add.reduceat(code, first[:-1]) / _LN10
+                    keys = grams(out[some[0] - order : some[-1] + 1], some - (some[0] - order), order)
+                    at = gram_index.find(mix(keys))
+                    hit, miss = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                    code[i + hit] = gram_logs[at[hit]]
+                    rare.append(keys[miss])
+                    owner.append(np.searchsorted(first, i + miss, "right") - 1)
+                kinds = np.ones(sum(map(len, rare)), np.int8)
                 w, start = hash_words(content, bounds)
                 row = np.concatenate((np.repeat(np.arange(rows), np.diff(start)), np.arange(rows)))
                 w = np.append(w, np.full(rows, END_WORD, np.uint64))
-                at = index.find(w)
+                at = word_index.find(w)
                 hit = at >= 0
-                base = np.bincount(row[hit], logs[at[hit]], rows)
+                base = np.bincount(row[hit], word_logs[at[hit]], rows).astype(np.float64)  # of no words, it counts
                 n_known = np.bincount(row[hit], minlength=rows)
-                w, row = w[~hit], row[~hit]
-                order_by = np.lexsort((w, row))
-                w, row = w[order_by], row[order_by]
-                new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (row[1:] != row[:-1])))) if len(w) else np.empty(0, np.int64)
-                often = np.diff(np.append(new, len(w)))
-                edges = np.searchsorted(row[new], np.arange(rows + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(edges), pa.array(w[new].view(np.int64)))
-                times = pa.ListArray.from_arrays(pa.array(edges), pa.array(often.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(start) + 1), pa.array(n_known), pa.array(base), pa.array(bits), rare, times], ["doc_id", "n_tokens", "head_known", "head_score", "score", "rare", "times"])
+                kinds = np.append(kinds, np.zeros(np.count_nonzero(~hit), np.int8))
+                keys, row = np.concatenate((*rare, w[~hit])), np.concatenate((*owner, row[~hit]))
+                by = np.lexsort((keys, kinds, row))
+                keys, kinds, row = keys[by], kinds[by], row[by]
+                new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1]) | (row[1:] != row[:-1])))) if len(keys) else np.empty(0, np.int64)
+                edges = pa.array(np.searchsorted(row[new], np.arange(rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (kinds[new], keys[new].view(np.int64), np.diff(np.append(new, len(keys))).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(start) + 1), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(code, first[:-1])), *lists], ["doc_id", "n_tokens", "head_known", "head_base", "head_score", "kinds", "rare", "times"])
 
     kind = dict(docs.dtypes)[id_column]
-    coded = docs.select(F.col(text_column).alias("text"), F.col(id_column).alias("doc_id")).mapInArrow(run, f"doc_id {kind}, n_tokens long, head_known long, head_score double, score double, rare array<long>, times array<int>")
+    coded = docs.select(F.col(text_column).alias("text"), F.col(id_column).alias("doc_id")).mapInArrow(run, f"doc_id {kind}, n_tokens long, head_known long, head_base double, head_score double, kinds array<byte>, rare array<long>, times array<int>")
     coded = cut(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
-    tail = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    lookup = words.limit(0) if complete else words
-    found = tail.join(lookup, "key", "left")
-    each = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1) - F.lit(floor)
-    tail_sums = found.groupBy("row").agg(F.sum(F.col("times") * each).alias("tail_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"))
-    joined = coded.drop("rare", "times").join(tail_sums, "row", "left")
+    tail = coded.select("row", F.explode(F.arrays_zip("kinds", "rare", "times")).alias("x")).select("row", F.col("x.kinds").alias("kind"), F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    used: list[DataFrame] = []
+    codes = cut(code_lengths(tail.where("kind = 1").select("key").distinct(), nodes, contexts, used), "codes")
+    release(spark, *nodes[:-1], *contexts, *used)
+    each = F.lit(0).cast("byte").alias("kind"), "key", F.log10(F.col("n") + 1).alias("value")
+    lookup = codes.select(F.lit(1).cast("byte").alias("kind"), "key", (F.col("code") / _LN10).alias("value"))
+    lookup = lookup if complete else lookup.unionByName(words.select(*each))
+    found = tail.join(lookup, ["kind", "key"], "left")
+    # a word that training didn't see counts 0
+    word, times = F.col("kind") == 0, F.col("times")
+    tail_sums = found.groupBy("row").agg(
+        F.sum(F.when(word, times * (F.coalesce("value", F.lit(0.0)) - floor))).alias("tail_base"),
+        F.sum(F.when(word & F.col("value").isNotNull(), times)).alias("tail_known"),
+        F.sum(F.when(~word, times * F.col("value"))).alias("tail_score"),
+    )
+    joined = coded.drop("kinds", "rare", "times").join(tail_sums, "row", "left")
+    whole = lambda name: F.col(f"head_{name}") + F.coalesce(f"tail_{name}", F.lit(0))
     return joined.select(
         "doc_id",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
+        whole("known").cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        whole("base").alias("base_score"),
+        whole("score").alias("score"),
     )
 
 

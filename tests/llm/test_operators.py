@@ -359,12 +359,11 @@ def brute_ppm(train, text, order):
         for i in range(order, len(s)):
             for o in range(order + 1):
                 counts[o, s[i - o : i]][s[i]] += 1
-    kept = {c: {x: n for x, n in m.items() if n > 1 or c[0] == 0} for c, m in counts.items()}
     s, total = coded(text), 0.0
     for i in range(order, len(s)):
         gone = set()
         for o in range(order, -1, -1):
-            m = {x: n for x, n in kept.get((o, s[i - o : i]), {}).items() if x not in gone}
+            m = {x: n for x, n in counts.get((o, s[i - o : i]), {}).items() if x not in gone}
             if not m:
                 continue
             n, d = sum(m.values()), len(m)
@@ -374,7 +373,7 @@ def brute_ppm(train, text, order):
             total += math.log10(d / (n + d))
             gone |= set(m)
         else:
-            total -= math.log10(257 - len(kept[0, b""]))
+            total -= math.log10(257 - len(counts[0, b""]))
     return total
 
 
@@ -386,13 +385,13 @@ def test_scores_equal_brute_force(spark):
     train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     seen = collections.Counter(w for t in train for w in [*(x.decode() for x in t.encode().lower().split()), None])
     total, distinct = sum(seen.values()), len(seen)
-    for head in (1 << 19, 4):
-        got = {r.doc_id: r for r in ppm.score(docs, fold("doc_id", 7) != 2, 3, max_head=head).collect()}
+    for order, nodes, head in ((3, 1 << 21, 1 << 19), (5, 40, 4)):
+        got = {r.doc_id: r for r in ppm.score(docs, fold("doc_id", 7) != 2, order, nodes, head).collect()}
         for i, t in rows:
             own = [*(x.decode() for x in (t or "").encode().lower().split()), None]
             assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(w in seen for w in own), total)
             assert got[i].base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (total + distinct + 1)) for w in own))
-            assert got[i].score == pytest.approx(brute_ppm(train, t or "", 3), abs=1e-3)
+            assert got[i].score == pytest.approx(brute_ppm(train, t or "", order), abs=1e-3)
 
 
 # -- 9 -----------------------------------------------------------------------
