@@ -79,7 +79,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
-    """The rows of df with the largest counts, at most limit of them; rows of nearly the same count stay or go together.
+    """The rows of df with the largest counts, at most limit of them; rows of nearly the same count stay or go together,
+    unless those of the largest alone are too many: of them a part by a hash stays.
 
     A histogram over logarithmic steps of the count gives the threshold: a few
     thousand rows reach the driver, whatever the size of df, and nothing is sorted.
@@ -88,6 +89,9 @@ def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     total, least = 0, None
     for value, rows in sorted(df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
         if total + rows > limit:
+            if least is None:
+                part = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int((1 << 30) * 0.9 * limit / rows)
+                return df.where((step == value) & part).limit(limit)
             break
         total, least = total + rows, value
     return df.where(step >= least) if least is not None else df.limit(0)

@@ -86,6 +86,18 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import audits, damaged, repair
+
+    return audits(repair(damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_tokens": op2_tokens,
@@ -97,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm": op8_ppm,
     "op9_linededup": op9_linededup,
     "op10_imatch": op10_imatch,
+    "op11_repair": op11_repair,
+    "op13_alignment": op13_alignment,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
