@@ -92,6 +92,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits(repair(damaged(table(spark, sf_dir, "conversations"))))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import alignment
 
@@ -110,11 +116,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linededup": op9_linededup,
     "op10_imatch": op10_imatch,
     "op11_repair": op11_repair,
+    "op12_language": op12_language,
     "op13_alignment": op13_alignment,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
+
+
+def _repair_sql() -> str:
+    """Edits by a recursive search over a conversation's rows: the cheapest (cost, audit, turns) of each state of the grammar."""
+    least = lambda *xs: f"list_sort([{', '.join(xs)}], 'ASC', 'NULLS LAST')[1]"
+    said = lambda o, x: f"CASE WHEN {o} = '' THEN {x} ELSE {o} || chr(10) || {x} END"
+
+    def step(s: str, cost: str, letter: str, turn: str | None = None, where: str = "true") -> str:
+        return f"CASE WHEN {s} IS NOT NULL AND ({where}) THEN {{'c': ({s}.c + {cost})::BIGINT, 'a': {s}.a || '{letter}', 'o': {said(s + '.o', turn) if turn else s + '.o'}}} END"
+
+    keep = lambda s, initial: step(s, "tr", "K", "role || ':' || text", f"NOT gone AND role[1] = '{initial}'")
+    own = lambda s, role: step(s, "2 + tr", "R", f"'{role}:' || text", "NOT gone")
+    new = lambda s, role: step(s, "2", "I", f"'{role}:'")
+    to_user = ("s0", "s1", "s3")
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+        WITH RECURSIVE t AS (SELECT list(list_reduce([i] || [0::BIGINT for z in range(8)], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+        b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, [4294967295::BIGINT] || [ascii(x)::BIGINT for x in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS b FROM conversations),
+        k AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 20 AS k FROM b, t),
+        m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, (SELECT unnest([1, 2]) AS copy) WHERE k <> 0 AND (copy = 1 OR k = 3)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, {space}) AS seen FROM m),
+        f AS (SELECT *, seen = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+        g AS (SELECT *, blank OR again AS gone, (NOT blank AND right(seen, 1) NOT IN ('.', '!', '?'))::BIGINT AS tr FROM f),
+        w AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s1, {{'c': 2::BIGINT, 'a': 'I', 'o': 'user:'}} AS s2, {{'c': 4::BIGINT, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:'}} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, i, s0, s1, s2, {least("s3", new("s2", "assistant"))} AS s3 FROM (
+            SELECT conv_id, i, s0, s1, {least("s2", *(new(s, "user") for s in to_user))} AS s2, s3 FROM (
+            SELECT w.conv_id, g.i, {step("s0", "3", "D")} AS s0, {least(step("s1", "3", "D"), keep("s0", "s"))} AS s1,
+                   {least(step("s2", "3", "D"), *(keep(s, "u") for s in to_user), *(own(s, "user") for s in to_user))} AS s2,
+                   {least(step("s3", "3", "D"), keep("s2", "a"), own("s2", "assistant"))} AS s3
+            FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1))),
+        e AS (SELECT conv_id, arg_max({least("s0", "s3")}, i) AS e FROM w GROUP BY conv_id),
+        h AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT gone AND tr = 1) AS truncated, count(*) FILTER (before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+        SELECT e.conv_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, e.c::BIGINT AS cost, e.a AS audit, sha256(e.o) AS repaired_sha256 FROM e LEFT JOIN h ON e.conv_id IS NOT DISTINCT FROM h.conv_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_repair": _repair_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS digest FROM pages),
         k AS (SELECT digest, max(page_id) AS keeper FROM p WHERE octet_length(body) >= 1000 GROUP BY digest)

@@ -29,7 +29,8 @@ def _shipped(spark):
     ship(spark)
 
 
-def table_dir(spark, path, rows, labels=(), pages=(), benchmark=()):
+def table_dir(spark, path, rows, labels=(), pages=(), benchmark=(), turns=()):
+    spark.createDataFrame(list(turns), "conv_id long, turn long, role string, text string, copies long, edge string").write.parquet(f"{path}/conversations.parquet")
     spark.createDataFrame(rows, DOC_SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(list(pages), "page_id long, url string, html string, host string, digest string").write.parquet(f"{path}/pages.parquet")
@@ -41,13 +42,16 @@ def doc(i, text, source="s"):
     return (i, text, "en", source, None if text is None else len(text), 0.1, 5, "r", 7, "n", 3, 4, 1, 0.5)
 
 
+TURNS = [(1, 0, "user", LONG, None, "e"), (1, 0, "user", LONG, None, "e"), (1, None, None, None, 3, None), (None,) * 6, (None,) * 6, (2, 5, "", "", 0, "")]
+
+
 @pytest.fixture(scope="module")
 def awkward(spark, tmp_path_factory):
     rows = [doc(i, t, random.Random(i).choice(["a", "b", None])) for i, t in enumerate(TEXTS)]
     rows += [rows[5], rows[5], (None,) * 14, (None, "no id", None, None, None, *(None,) * 9)]
     pages = [(1, "http://A.example.com/en/7", "h" * 1200, "x", "y"), (2, "nothing", "h" * 1200, None, None), (3, None, None, None, None), (4, "https://x.net?q", "", None, None), (5, "a://b.org/es/1/2/3/4/5/6#f", "h" * 999, None, None), (6, "a://b.org/es/", "h" * 999, None, None)]
     labels = [(0, 1, 0), (3, None, None), (None, 1, 1), (5, 0, 1), (5, 0, 0)]
-    return table_dir(spark, tmp_path_factory.mktemp("awkward"), rows, labels, pages, [(1, None), (2, ""), (None, "some item text that nobody has ever seen before"), (3, "one two three four five six seven eight nine ten"), (3, "one two three four five six seven eight nine ten")])
+    return table_dir(spark, tmp_path_factory.mktemp("awkward"), rows, labels, pages, [(1, None), (2, ""), (None, "some item text that nobody has ever seen before"), (3, "one two three four five six seven eight nine ten"), (3, "one two three four five six seven eight nine ten")], TURNS)
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +64,8 @@ def test_awkward_rows(spark, awkward, name):
     rows = registry.QUERIES[name](spark, awkward).collect()
     if name in ("op3_urls", "op4_warc"):
         assert len(rows) == 6
+    elif name == "op11_repair":
+        assert {r.conv_id for r in rows} == {1, 2, None} and len(rows) == 3
     elif name == "op5_decontaminate":
         assert {(r.doc_id, r.item_id) for r in rows} == {(10, 3)}
     else:
