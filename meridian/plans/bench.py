@@ -1,4 +1,4 @@
-"""Benchmark analytics: logs to points, points to fronts, curves and breakdowns.
+"""Benchmark analytics: points to fronts, curves and breakdowns.
 
 A point is a row: system, dataset, ef, blocks, queries_per_block, pipe_width,
 qps, recall and latencies. Which systems are shown under which name, and which
@@ -12,69 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import best_under, keep_newest, pareto, scale_to_total
 
-#: Fixed patterns of the log lines.
-ANSI = r"\x1b\[[0-9;]*m"
-SWEEP = r"^(\w+) Sweep:\s*(.*)$"
-RESULT = r"^=+ (.+?) Result =+$"
-PARAMETERS = r"^(topk=|num_blocks=|batch=|mini_batch=)"
-QPS = r"^QPS:\s*([\d.]+)"
-LATENCY = r"^(?:\[\w+\] )?(Query|Batch)Latency\(ms\):\s*(.*)$"
-RECALL = r"^Recall @ (\d+):\s*([\d.]+)"
-SAMPLE = r"^([A-Za-z][\w %./-]*?)\s+(\d+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)$"
-
 POINT_KEYS = ["system", "dataset", "ef", "queries_per_block", "pipe_width", "blocks"]
 
 
-def field(text: Column, name: str) -> Column:
-    """The number of name=number in a line."""
-    return F.nullif(F.regexp_extract(text, rf"(?:^|[\s,]){name}=(-?[\d.]+)", 1), F.lit("")).cast("double")
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """stem, line, text of log files."""
-    rows = spark.read.option("wholetext", True).text(path).withColumn("stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1))
-    return rows.select("stem", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-
-
-def parse_points(lines: DataFrame) -> DataFrame:
-    """stem, block and the numbers of each result block: a sweep header applies to all that follows, a result line opens a block, a recall line closes it.
-
-    What a block says of a parameter itself goes before its header; the pipe width is 1 where neither says.
-
-    lines: stem, line, text. A log is the unit of order; logs are as many as runs.
-    """
-    text = F.trim(F.regexp_replace("text", ANSI, ""))
-    rows = lines.select("stem", "line", text.alias("t"))
-    along = Window.partitionBy("stem").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    sweep, result = F.col("t").rlike(SWEEP), F.col("t").rlike(RESULT)
-    rows = rows.withColumn("block", F.sum(result.cast("int")).over(along))
-    rows = rows.withColumn("header", F.last(F.when(sweep, F.col("t")), True).over(along)).where("block > 0")
-    kind = F.regexp_extract("t", LATENCY, 1)
-    pick = lambda condition, value: F.first(F.when(condition, value), True)
-    own = F.sort_array(F.collect_list(F.when(F.col("t").rlike(PARAMETERS), F.struct("line", "t"))))
-    parameters = F.concat_ws(" ", F.array_join(F.transform(own, lambda x: x["t"]), " "), F.min_by("header", "line"))
-    numbers = {f"{k}_{n}": pick(kind == k.capitalize(), field(F.regexp_extract("t", LATENCY, 2), p)) for k in ("query", "batch") for n, p in (("avg", "avg"), ("p50", "p50"), ("p90", "p90"), ("p99", "p99"), ("max", "max"))}
-    points = rows.groupBy("stem", "block").agg(
-        F.regexp_extract(F.min_by("header", "line"), SWEEP, 1).alias("system"),
-        parameters.alias("parameters"),
-        pick(F.col("t").rlike(QPS), F.regexp_extract("t", QPS, 1).cast("double")).alias("qps"),
-        pick(F.col("t").rlike(RECALL), F.regexp_extract("t", RECALL, 2).cast("double")).alias("recall"),
-        *(c.alias(n) for n, c in numbers.items()),
-    )
-    names = {"ef": "ef_search", "num_blocks": "num_blocks", "mini_batch": "mini_batch", "queries_per_block": "queries_per_block", "pipe_width": "pipe_width"}
-    for n, p in names.items():
-        points = points.withColumn(n, field(F.col("parameters"), p).cast("long"))
-    points = points.withColumn("pipe_width", F.coalesce("pipe_width", F.lit(1).cast("long")))
-    return points.where("qps is not null").withColumn("blocks", F.coalesce("mini_batch", "num_blocks")).drop("parameters")
-
-
-def parse_samples(lines: DataFrame) -> DataFrame:
-    """stem, line, metric, count, avg, p50, p90, p99, max of breakdown rows."""
-    t = F.trim(F.regexp_replace("text", ANSI, ""))
-    rows = lines.select("stem", "line", t.alias("t")).where(F.col("t").rlike(SAMPLE))
-    return rows.select("stem", "line", F.regexp_extract("t", SAMPLE, 1).alias("metric"), *(F.regexp_extract("t", SAMPLE, i + 2).cast("double").alias(n) for i, n in enumerate(("count", "avg", "p50", "p90", "p99", "max"))))
-
-
 def named(points: DataFrame, names: dict[str, str]) -> DataFrame:
     """Systems under the names they are shown by."""
     out = F.col("system")

@@ -19,6 +19,7 @@ from ..operators import graph as g
 from ..operators import ivf, kmeans, knn as nn
 from ..operators import quantize as qz
 from ..shipping import ship
+from ..sources import logs
 from ..sources.indexes import stripe
 from . import bench
 
@@ -742,25 +743,40 @@ def activity_percent(spark, d):
 
 # -- benchmark analytics -----------------------------------------------------
 
-_LOG_SQL = "SELECT event_type AS stem, user_id % 50 AS blocks, round(count(*)*1.5::DOUBLE,3)+0.0 AS qps, round(max(value),3)+0.0 AS query_p99, round((user_id % 50)/100.0,3)+0.0 AS recall FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
+_LOG_SQL = "WITH r AS (SELECT event_type AS stem, user_id % 50 AS blocks, count(*)*1.5::DOUBLE AS qps, max(value) AS p99 FROM events WHERE value IS NOT NULL GROUP BY 1, 2), l AS (SELECT *, lead(blocks) OVER (PARTITION BY stem ORDER BY blocks) IS NULL AS ends FROM r)"
 
 
-@query("parse_logs", f"SELECT stem, blocks::BIGINT AS blocks, qps, query_p99, recall FROM ({_LOG_SQL})")
+@query("parse_logs", f"{_LOG_SQL} SELECT stem, 'Engine' AS system, blocks, 2::BIGINT AS pipe_width, round(qps,3)+0.0 AS qps, round(p99,3)+0.0 AS query_p99, CASE WHEN blocks % 5 <> 0 THEN round(blocks/100.0,3)+0.0 END AS recall FROM l WHERE blocks % 5 <> 0 OR ends")
 def parse_logs(spark, d):
-    """Writes the lines of a log for every point, and parses them back."""
-    points = _points(spark, d)
+    """Writes the lines of a log for every point, and parses them back: every fifth block was broken off, every seventh says its batch only."""
+    lines = _log_lines(_points(spark, d))
+    return logs.parse_points(lines).select("stem", "system", "blocks", "pipe_width", *(F.round(c, 3).alias(c) for c in ("qps", "query_p99", "recall")))
+
+
+@query("parse_samples", f"{_LOG_SQL} SELECT stem, 'Wait I/O' AS metric, blocks::DOUBLE AS count, round(p99,3)+0.0 AS p99 FROM l WHERE blocks % 3 = 0")
+def parse_samples(spark, d):
+    """Every third block has a table of samples; rows like it outside of a table are none."""
+    return logs.parse_samples(_log_lines(_points(spark, d))).select("stem", "metric", "count", F.round("p99", 3).alias("p99"))
+
+
+def _log_lines(points: DataFrame) -> DataFrame:
     three = lambda c: F.regexp_replace(F.format_number(c, 3), ",", "")
+    blocks = F.col("blocks").cast("string")
+    knob = F.when(F.col("blocks") % 7 == 0, F.lit("batch=")).otherwise(F.lit("num_blocks="))
+    sample = F.concat(F.lit("  Wait I/O   "), blocks, F.lit("  1.00 2.00   3.00 "), three(F.col("p99_ms")), F.lit(" 5.00"))
     text = F.array(
-        F.lit("Engine Sweep: num_blocks=9999 pipe_width=1"),
+        F.lit("Engine Sweep: pipe_width=1, ef_search=40"),
         F.lit("========== Engine Result =========="),
-        F.concat(F.lit("  num_blocks="), F.col("blocks").cast("string"), F.lit(" pipe_width=2 queries_per_block=1")),
+        F.concat(F.lit("  "), knob, blocks, F.lit(" pipe_width=2 queries_per_block=1")),
         F.concat(F.lit("  QPS: "), three(F.col("qps") * 1.5)),
         F.concat(F.lit("  QueryLatency(ms): avg=1.000 p50=1.000 p99="), three(F.col("p99_ms")), F.lit(" max=2.000")),
-        F.concat(F.lit("\x1b[32mRecall @ 10: "), three(F.col("blocks") / 100), F.lit("\x1b[0m")),
+        F.when(F.col("blocks") % 3 == 0, F.lit("========== Tech-Analysis Samples ==========")).otherwise(F.lit("Metric  count avg")),
+        sample,
+        F.when(F.col("blocks") % 5 != 0, F.concat(F.lit("\x1b[32mRecall @ 10: "), three(F.col("blocks") / 100), F.lit("\x1b[0m"))).otherwise(F.lit("killed")),
+        F.lit("QPS: 7"),
     )
-    lines = points.select(F.col("system").alias("stem"), "blocks", F.posexplode(text).alias("i", "text")).select("stem", (F.col("blocks") * 10 + F.col("i")).alias("line"), "text")
-    points = bench.parse_points(lines)
-    return points.select("stem", F.col("blocks").cast("long").alias("blocks"), *(F.round(c, 3).alias(c) for c in ("qps", "query_p99", "recall")))
+    lines = points.select(F.col("system").alias("stem"), "blocks", F.posexplode(text).alias("i", "text"))
+    return lines.where("i < 8 or blocks % 5 <> 0").select("stem", (F.col("blocks") * 10 + F.col("i")).alias("line"), "text")
 
 
 _BENCH = "b AS (SELECT event_type AS system, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS dataset, user_id % 7 AS ef, user_id % 25 AS blocks, 1 + user_id % 3 AS queries_per_block, 2 AS pipe_width, count(*)::DOUBLE AS qps, max(value) AS p99_ms, max(event_id) AS seq FROM events WHERE value IS NOT NULL GROUP BY ALL)"

@@ -11,7 +11,7 @@ from meridian.operators import evaluate as ev
 from meridian.operators import graph as g
 from meridian.operators import ivf, kmeans
 from meridian.operators import knn as nn
-from meridian.plans import bench
+from meridian.sources import logs
 from meridian.streaming import search as st
 
 
@@ -101,11 +101,14 @@ def test_changes_apply_in_their_order(spark, points, tmp_path):
     assert sorted(ids[0]) == list(range(20, 30))  # more deleted around it than ef_search
 
 
-def test_own_lines_go_before_the_header(spark):
-    text = ["Engine Sweep: num_blocks=108 ef_search=9", "===== Engine Result =====", "num_blocks=216 pipe_width=2", "QPS: 5.0", "Engine Sweep: num_blocks=1", "===== Engine Result =====", "QPS: 6.0"]
-    lines = spark.createDataFrame([("s", i, t) for i, t in enumerate(text)], "stem string, line int, text string")
-    got = {r.qps: (r.num_blocks, r.ef, r.pipe_width) for r in bench.parse_points(lines).collect()}
-    assert got == {5.0: (216, 9, 2), 6.0: (1, None, 1)}
+def test_logs(spark):
+    text = ["QPS: 1", "Engine Sweep: num_blocks=108 ef_search=9", "===== Engine Result =====", "num_blocks=216 pipe_width=2", "topk=10, pipe_width=3", "QPS: 5.0", "[Engine] BatchLatency(ms): avg=1.5 p99=4", "Recall @ 10: 0.5", "QPS: 9"]
+    text += ["===== Engine Result =====", "QPS: 8.0", "Engine Sweep: batch=1", "===== Engine Result =====", "QPS: 6.0"]
+    other = ["===== Bare one Result =====", "batch=3", "QPS: 2", "A b/c 2 1 2 3 4 5", "=== Tech-Analysis Samples ===", "  A b/c   2 1 2 3 4 5.5", "A b/c 2.5 1 2 3 4 5", "1 2 3 4 5 6 7", "Recall @ 1: 1"]
+    lines = spark.createDataFrame([(s, i, t) for s, own in (("s", text), ("t", other)) for i, t in enumerate(own)], "stem string, line int, text string")
+    got = {r.qps: (r.system, r.blocks, r.ef, r.pipe_width, r.recall, r.batch_p99) for r in logs.parse_points(lines).collect()}
+    assert got == {5.0: ("Engine", 216, 9, 3, 0.5, 4.0), 6.0: ("Engine", 1, None, 1, None, None), 2.0: ("Bare", 3, None, 1, 1.0, None)}
+    assert [tuple(r)[3:] for r in logs.parse_samples(lines).collect()] == [("A b/c", 2.0, 1.0, 2.0, 3.0, 4.0, 5.5)]
 
 
 def test_repeated_queries_are_numbered_on(spark, points):
