@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, squared_l2
-from .knn import ID, QUERY, QUERY_VECTOR, VECTOR, _matrix, knn, merge_top_k, top_k
+from .knn import ID, QUERY, QUERY_VECTOR, VECTOR, _matrix, _nearest, knn, merge_top_k, top_k
+from .rank import ranked
 
 NEIGHBORS, SHARD = "neighbors", "shard"
 #: Bytes of a shard that is sent to executors.
@@ -33,35 +34,62 @@ def exact_edges(vectors: DataFrame, degree: int) -> DataFrame:
     return top_k(near.drop("rank"), degree).select(F.col(QUERY).alias("src"), F.col(ID).alias("dst"), "dist")
 
 
-def partition_tree(vectors: DataFrame, dims: int, depth: int, seed: int = 0) -> DataFrame:
-    """Adds leaf: at each level a part is split at its mean along a random direction.
+def signs(dims: int, row: int) -> np.ndarray:
+    """A row of Hadamard's matrix: directions of trees by a rule."""
+    return np.array([1.0 - 2.0 * (bin(d & row).count("1") % 2) for d in range(dims)])
 
-    Means of all parts of a level come from one aggregate.
+
+def tree_leaves(vectors: DataFrame, dims: int, trees: int, leaf_rows: int = 256, levels: int = 6) -> DataFrame:
+    """vec_id, embedding, tree, leaf: for each of some trees, vectors in the order of its sides, cut into leaves of leaf_rows.
+
+    A vector's place is its sides of ``levels`` planes, then its place along one
+    more direction. Leaves are runs of the global order, so none is larger than
+    the others, whatever the number of vectors.
     """
-    rng = np.random.default_rng(seed)
-    rows = vectors.withColumn("leaf", F.lit(0).cast("long"))
-    for _ in range(depth):
-        direction = F.array(*(F.lit(float(x)) for x in rng.standard_normal(dims)))
-        along = F.aggregate(F.zip_with(as_double(F.col(VECTOR)), direction, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-        rows = rows.withColumn("along", along)
-        means = rows.groupBy("leaf").agg(F.avg("along").alias("cut"))
-        rows = rows.join(F.broadcast(means), "leaf").withColumn("leaf", F.col("leaf") * 2 + (F.col("along") > F.col("cut")).cast("long")).drop("along", "cut")  # 2^depth rows
-    return rows
-
-
-def leaf_edges(vectors: DataFrame, degree: int, dims: int, depth: int, trees: int) -> DataFrame:
-    """src, dst, dist: nearest others within the leaves of several random trees."""
-    found = None
-    for t in range(trees):
-        rows = partition_tree(vectors.select(ID, VECTOR), dims, depth, t)
-        left = rows.select("leaf", F.col(ID).alias("src"), F.col(VECTOR).alias("a"))
-        right = rows.select("leaf", F.col(ID).alias("dst"), F.col(VECTOR).alias("b"))
-        pairs = left.join(right, "leaf").where("src <> dst").select("src", "dst", squared_l2(F.col("a"), F.col("b")).alias("dist"))
-        best = top_k(pairs, degree, "dist", "src", "dst").drop("rank")
-        found = best if found is None else found.unionByName(best)
+    weights = np.stack([signs(dims, 1 + i) for i in range(trees * (levels + 1))], 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            along = (_matrix(batch.column(1)) @ weights).reshape(batch.num_rows, trees, levels + 1)
+            side = ((along[:, :, :-1] > 0) @ (1 << np.arange(levels - 1, -1, -1))).astype(np.int64)
+            for t in range(trees):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(side[:, t]), pa.array(along[:, t, -1])], [ID, VECTOR, "tree", "side", "along"])
+
+    slim = vectors.select(F.col(ID).cast("long").alias(ID), F.col(VECTOR).cast("array<float>").alias(VECTOR)).where(F.col(VECTOR).isNotNull())
+    rows = ranked(slim.mapInArrow(place, f"{ID} long, {VECTOR} array<float>, tree int, side long, along double"), "tree", "side", "along", ID)
+    starts = rows.groupBy("tree").agg(F.min("rank").alias("start"))  # a row a tree
+    return rows.join(F.broadcast(starts), "tree").select(ID, VECTOR, "tree", F.floor((F.col("rank") - F.col("start")) / leaf_rows).cast("long").alias("leaf"))
+
+
+def leaf_edges(vectors: DataFrame, degree: int, dims: int, trees: int = 4, leaf_rows: int = 256, levels: int = 6) -> DataFrame:
+    """src, dst, dist: nearest others within the leaves of several trees; the work grows with the number of vectors."""
+
+    def within(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows[ID].to_numpy())
+        ids, x = rows[ID].to_numpy()[order], _matrix(rows[VECTOR].combine_chunks())[order]
+        row, column, dist = _nearest(x, ids, x, degree + 1, "l2")
+        other = ids[row] != column
+        row, column, dist = row[other], column[other], dist[other]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < degree
+        return pa.table({"src": ids[row[keep]], "dst": column[keep], "dist": dist[keep]})
+
+    found = tree_leaves(vectors, dims, trees, leaf_rows, levels).groupBy("tree", "leaf").applyInArrow(within, "src long, dst long, dist double")
     return top_k(found.distinct(), degree, "dist", "src", "dst").drop("rank")
 
 
+def both_ways(edges: DataFrame, degree: int) -> DataFrame:
+    """Edges and their reverses, the nearest of each source."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
+    return top_k(edges.select("src", "dst", "dist").unionByName(back).distinct(), degree, "dist", "src", "dst").drop("rank")
+
+
+def nodes(vectors: DataFrame, edges: DataFrame) -> DataFrame:
+    """vec_id, embedding, neighbors of every vector, those without edges too."""
+    return vectors.select(ID, VECTOR).join(adjacency(edges), ID, "left")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """vec_id, neighbors in order of distance."""
     lists = edges.groupBy(F.col("src").alias(ID)).agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("n"))
@@ -81,14 +109,19 @@ def prune(edges: DataFrame, vectors: DataFrame, degree: int) -> DataFrame:
     return kept.select("src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"))
 
 
-def refine(edges: DataFrame, vectors: DataFrame, degree: int) -> DataFrame:
-    """Neighbours of neighbours as further candidates, each once, then pruned."""
+def nearer(edges: DataFrame, vectors: DataFrame, degree: int) -> DataFrame:
+    """src, dst, dist: the nearest among neighbours and their neighbours."""
     hop = edges.select(F.col("src"), F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), F.col("dst")), "mid").where("src <> dst").select("src", "dst")
     pairs = hop.unionByName(edges.select("src", "dst")).distinct()
     left = vectors.select(F.col(ID).alias("src"), F.col(VECTOR).alias("a"))
     right = vectors.select(F.col(ID).alias("dst"), F.col(VECTOR).alias("b"))
     near = pairs.join(left, "src").join(right, "dst").select("src", "dst", squared_l2(F.col("a"), F.col("b")).alias("dist"))
-    return prune(top_k(near, 3 * degree, "dist", "src", "dst").drop("rank"), vectors, degree)
+    return top_k(near, degree, "dist", "src", "dst").drop("rank")
+
+
+def refine(edges: DataFrame, vectors: DataFrame, degree: int) -> DataFrame:
+    """Neighbours of neighbours as further candidates, each once, then pruned."""
+    return prune(nearer(edges, vectors, 3 * degree), vectors, degree)
 
 
 def expand(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,12 +129,17 @@ def expand(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias(ID), F.col("dst").alias("next")), ID).select(QUERY, F.col("next").alias(ID)).distinct()
 
 
+def medoid_of(vectors: DataFrame) -> DataFrame:
+    """vec_id of the vector nearest to the mean of all: one row."""
+    each = vectors.select(F.posexplode(as_double(F.col(VECTOR))).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x"))
+    mean = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda x: x["x"]).alias("mean"))  # a number a dimension
+    there = vectors.select(F.col(ID).cast("long").alias(ID), VECTOR).join(F.broadcast(mean))
+    return there.agg(F.min_by(ID, F.struct(squared_l2(F.col(VECTOR), F.col("mean")), F.col(ID))).alias(ID)).where(F.col(ID).isNotNull())
+
+
 def medoid(vectors: DataFrame) -> int:
     """The id of the vector nearest to the mean of all."""
-    each = vectors.select(F.posexplode(as_double(F.col(VECTOR))).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x"))
-    mean = [r["x"] for r in each.orderBy("d").collect()]  # a row a dimension
-    centre = F.array(*map(F.lit, mean))
-    return vectors.agg(F.min_by(ID, F.struct(squared_l2(F.col(VECTOR), centre), F.col(ID)))).first()[0]
+    return medoid_of(vectors).first()[0]
 
 
 @dataclass

@@ -17,6 +17,7 @@ from ..functions import stats, vectors as v
 from ..operators import evaluate as ev
 from ..operators import graph as g
 from ..operators import ivf, kmeans, knn as nn
+from ..operators import walk as walks
 from ..operators import quantize as qz
 from ..shipping import ship
 from ..sources import logs
@@ -545,54 +546,193 @@ def graph_medoid(spark, d):
     return spark.range(1).select(F.lit(g.medoid(_base(spark, d))).cast("long").alias("medoid"))
 
 
-def _graph(spark, d, degree: int = 12):
-    base = _base(spark, d)
-    return base, g.shard_graph(base, lambda own: g.exact_edges(own, degree))
-
-
 @query("graph_prune", f"WITH RECURSIVE {Q}, p AS (SELECT a.vec_id AS src, b.vec_id AS other, b.e AS x, {L2.format(a='a.e', b='b.e')} AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, other) AS i FROM p) WHERE i <= 24), {_greedy_sql('src', 'n.dist < ' + _FAR, 8)} SELECT src, unnest(ids) AS dst, round(unnest(dists),6)+0.0 AS dist FROM done")
 def graph_prune(spark, d):
     base = _base(spark, d)
     return g.prune(g.exact_edges(base, 24), base, 8).select("src", "dst", r6(F.col("dist")).alias("dist"))
 
 
-@query("graph_leaf_edges")
+#: Edges of the graphs that are searched: degree, trees, rows of a leaf, planes of a tree.
+DEGREE, TREES, LEAF, PLANES = 24, 6, 128, 4
+#: Search: beam, nodes expanded a round, and the stated training queries' remainder.
+EF, WIDTH, TRAINING = 64, 8, 10
+
+
+def _leaf_sql(source: str = "v", degree: int = DEGREE, trees: int = TREES) -> str:
+    """edges (s, t, dist) within leaves, both ways; ix numbers the vectors of source by id."""
+    side = lambda r: f"list_inner_product(e, [1.0::DOUBLE - 2.0 * (bit_count((x & {r})::BIGINT) % 2) for x in range(0, {DIMS})])"
+    leaves = []
+    for t in range(trees):
+        first = 1 + t * (PLANES + 1)
+        code = "||".join(f"(CASE WHEN {side(first + j)} > 0 THEN '1' ELSE '0' END)" for j in range(PLANES))
+        leaves.append(f"SELECT i, e, {t} AS tree, (row_number() OVER (ORDER BY {code}, {side(first + PLANES)}, i) - 1) // {LEAF} AS leaf FROM ix")
+    return f"""ix AS (SELECT vec_id, e, row_number() OVER (ORDER BY vec_id) AS i FROM {source}), leaves AS ({" UNION ALL ".join(leaves)}),
+        pairs AS (SELECT a.tree, a.i AS s, b.i AS t, {L2.format(a="a.e", b="b.e")} AS dist FROM leaves a JOIN leaves b USING (tree, leaf) WHERE a.i <> b.i),
+        own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY dist, t) AS r FROM (SELECT DISTINCT s, t, dist FROM pairs)) WHERE r <= {degree}),
+        edges AS (SELECT * FROM (SELECT s, t, dist, row_number() OVER (PARTITION BY s ORDER BY dist, t) AS r FROM (SELECT s, t, dist FROM own UNION SELECT t, s, dist FROM own)) WHERE r <= {degree})"""
+
+
+def _walk_sql(ef: int, width: int, k: int, stop: str = "false", truth: str = "[]::BIGINT[]", entry: str = "SELECT query_id, m FROM q, med", source: str = "v", degree: int = DEGREE, trees: int = TREES) -> str:
+    """w: every round of every query, walked over edges; its last round is in last."""
+    return f"""{_leaf_sql(source, degree, trees)},
+        med AS (SELECT arg_min(i, ({L2.format(a="e", b="c")}, i)) AS m FROM ix, (SELECT list(x ORDER BY d) AS c FROM (SELECT d, avg(e[d]) AS x FROM ix, (SELECT unnest(range(1, {DIMS + 1})) AS d) GROUP BY d))),
+        nb AS (SELECT list(l ORDER BY i) AS nb FROM (SELECT ix.i, list(t ORDER BY r) FILTER (t IS NOT NULL) AS l FROM ix LEFT JOIN edges ON s = i GROUP BY ix.i)),
+        ql AS (SELECT query_id, list({_QV} ORDER BY i) AS dl FROM q, ix GROUP BY query_id),
+        first AS ({entry}),
+        known AS (SELECT query_id, {truth} AS truth FROM q),
+        w AS (SELECT query_id, [{{'d': dl[m], 'i': m, 'x': false}}] AS beam, 0 AS step, 0 AS expanded, 0 AS found, NULL::DOUBLE AS top1, NULL::DOUBLE AS topk, 0 AS quiet, 0 AS hits, false AS stop FROM ql JOIN first USING (query_id)
+            UNION ALL
+            SELECT query_id, list_sort(beam || [{{'d': dl[t], 'i': t, 'x': false}} for t in near])[1:{ef}] AS beam, step, expanded, found, top1, topk, quiet, hits, {stop} AS stop FROM (
+            SELECT *, greatest(was_hits, len(list_intersect([b.i for b in best], truth)))::INTEGER AS hits, CASE WHEN was_top1 IS NULL OR found > was_found OR top1 < was_top1 OR topk < was_topk THEN 0 ELSE was_quiet + 1 END AS quiet FROM (
+            SELECT *, len(best)::INTEGER AS found, best[1].d AS top1, best[len(best)].d AS topk FROM (
+            SELECT *, [b for b in beam if b.x][1:{k}] AS best FROM (
+            SELECT query_id, dl, truth, step + 1 AS step, expanded + len(ids)::INTEGER AS expanded, found AS was_found, top1 AS was_top1, topk AS was_topk, quiet AS was_quiet, hits AS was_hits,
+                   [{{'d': b.d, 'i': b.i, 'x': b.x OR list_contains(ids, b.i)}} for b in beam] AS beam,
+                   [t for t in list_distinct(flatten([coalesce(nb[c], []) for c in ids])) if NOT list_contains([b.i for b in beam], t)] AS near FROM (
+            SELECT w.*, ql.dl, known.truth, nb.nb, [b.i for b in [b for b in beam if NOT b.x][1:{width}]] AS ids FROM w JOIN ql USING (query_id) JOIN known USING (query_id), nb
+            WHERE NOT stop AND len([b for b in beam if NOT b.x]) > 0)))))),
+        last AS (SELECT query_id, arg_max(beam, step) AS beam, max(step) AS steps, arg_max(expanded, step) AS expanded, arg_max(stop, step) AS stopped, arg_max(hits, step) AS hits FROM w GROUP BY query_id)"""
+
+
+_FOUND = "SELECT query_id, rank, ix.vec_id, round(b.d,6)+0.0 AS dist FROM (SELECT query_id, unnest(l) AS b, generate_subscripts(l, 1) AS rank FROM (SELECT query_id, [b for b in beam if b.x][1:10] AS l FROM last)) JOIN ix ON ix.i = b.i"
+_TRUTH = f"(SELECT list(i) FROM (SELECT i FROM (SELECT i, row_number() OVER (ORDER BY {L2.format(a='q.q', b='ix.e')}, i) AS r FROM ix) WHERE r <= 10))"
+
+
+def _edges(base: DataFrame) -> DataFrame:
+    return g.both_ways(g.leaf_edges(base, DEGREE, DIMS, TREES, LEAF, PLANES), DEGREE)
+
+
+def _walked(spark, d, rule=None, truth: DataFrame | None = None, asked: DataFrame | None = None) -> walks.Walk:
+    base = _base(spark, d)
+    asked = _asked(base) if asked is None else asked
+    with walks.Graph(g.nodes(base, _edges(base))) as graph:
+        return walks.walk(asked, graph, walks.entry_of_all(asked, g.medoid_of(base)), K, EF, WIDTH, rule, truth)
+
+
+@query("graph_leaf_edges", f"WITH {Q}, {_leaf_sql()} SELECT a.vec_id AS src, b.vec_id AS dst, round(dist,6)+0.0 AS dist FROM edges JOIN ix a ON a.i = s JOIN ix b ON b.i = t")
 def graph_leaf_edges(spark, d):
-    return g.leaf_edges(_base(spark, d), 8, DIMS, 4, 3).select("src", "dst", r6(F.col("dist")).alias("dist"))
+    return _edges(_base(spark, d)).select("src", "dst", r6(F.col("dist")).alias("dist"))
+
+
+@query("graph_leaf_recall", f"SELECT count(*) AS vectors, true AS enough FROM embeddings")
+def graph_leaf_recall(spark, d):
+    """Whether trees, and neighbours of neighbours after them, find nine tenths of all true nearest eight."""
+    base = _base(spark, d)
+    near = g.leaf_edges(base, DEGREE, DIMS, TREES, LEAF, PLANES)
+    found = nn.top_k(g.nearer(near, base, DEGREE), 8, "dist", "src", "dst").select("src", "dst")
+    truth = g.exact_edges(base, 8).select("src", "dst")
+    hits = truth.join(found, ["src", "dst"], "left_semi").agg(F.count("*").alias("hits"))
+    every = base.agg(F.count("*").alias("vectors")).join(truth.agg(F.count("*").alias("pairs"))).join(hits)  # a row each
+    return every.select("vectors", (F.col("hits") >= 0.9 * F.col("pairs")).alias("enough"))
 
 
 @query("graph_refine")
 def graph_refine(spark, d):
     base = _base(spark, d)
-    return g.refine(g.leaf_edges(base, 8, DIMS, 4, 2), base, 8).select("src", "dst", r6(F.col("dist")).alias("dist"))
+    return g.refine(g.leaf_edges(base, 8, DIMS, 2, LEAF, PLANES), base, 8).select("src", "dst", r6(F.col("dist")).alias("dist"))
 
 
-@query("beam_search")
+@query("beam_search", f"WITH RECURSIVE {Q}, {_walk_sql(EF, WIDTH, K)} {_FOUND}")
 def beam_search(spark, d):
-    base, shards = _graph(spark, d)
-    return _rounded(g.beam_search(_asked(base), shards, K, 50))
+    return _rounded(_walked(spark, d).results())
 
 
-@query("beam_search_pruned")
+@query("beam_search_pruned", f"WITH RECURSIVE {Q}, {_walk_sql(EF, WIDTH, K, 'step >= 3 AND quiet >= 2')} {_FOUND}")
 def beam_search_pruned(spark, d):
-    base, shards = _graph(spark, d)
-    return _rounded(g.beam_search(_asked(base), shards, K, 50, "pruning"))
+    return _rounded(_walked(spark, d, walks.pruning(3, 2)).results())
+
+
+@query("beam_search_hits", f"WITH RECURSIVE {Q}, {_walk_sql(EF, WIDTH, K, 'hits >= 9', _TRUTH)} SELECT query_id, steps::BIGINT AS step, expanded::BIGINT AS expanded, hits::BIGINT AS hits, stopped AS stop FROM last")
+def beam_search_hits(spark, d):
+    """Each query leaves as soon as nine of its ten nearest are found."""
+    base = _base(spark, d)
+    truth = nn.knn(_asked(base), base, K).select(nn.QUERY, nn.ID)
+    return _walked(spark, d, walks.enough_hits(stats.required_hits(F.lit(0.9), F.lit(K))), truth).steps()
 
 
-@query("beam_trace")
+@query("beam_trace", f"WITH RECURSIVE {Q}, {_walk_sql(EF, WIDTH, K)} SELECT query_id, step::BIGINT AS step, expanded::BIGINT AS expanded, found::BIGINT AS found, round(top1,6)+0.0 AS top1, round(topk,6)+0.0 AS topk, quiet::BIGINT AS quiet FROM w WHERE step > 0")
 def beam_trace(spark, d):
-    base, shards = _graph(spark, d)
-    return ev.prune_trace(g.search_traces(_asked(base), shards, K, 50), keys=(nn.QUERY, g.SHARD))
+    return _walked(spark, d).trace().select(nn.QUERY, "step", "expanded", "found", r6(F.col("top1")).alias("top1"), r6(F.col("topk")).alias("topk"), "quiet")
+
+
+@query("beam_search_recall", f"WITH {Q} SELECT count(*) AS queries, true AS enough FROM q")
+def beam_search_recall(spark, d):
+    """Whether the walk finds nine tenths of the true nearest ten."""
+    base = _base(spark, d)
+    row = ev.recall(_walked(spark, d).results(), nn.knn(_asked(base), base, K), K)
+    return row.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def _predicted(spark, d) -> tuple[walks.Walk, walks.Walk]:
+    """A full walk and one that leaves by a model, which learns from the walks of other queries."""
+    from ..operators import earlyexit
+
+    base = _base(spark, d)
+    asked = _asked(base)
+    others = nn.as_queries(base.where(F.col(nn.ID) % 20 == TRAINING))
+    truth = lambda q: nn.knn(q, base, K).select(nn.QUERY, nn.ID)
+    entry = g.medoid_of(base)
+    with walks.Graph(g.nodes(base, _edges(base))) as graph:
+        seen = walks.walk(others, graph, walks.entry_of_all(others, entry), K, EF, WIDTH, truth=truth(others))
+        rule = earlyexit.predicted(earlyexit.train(seen.trace(), K), 0.97)
+        known = truth(asked)
+        return (walks.walk(asked, graph, walks.entry_of_all(asked, entry), K, EF, WIDTH, truth=known), walks.walk(asked, graph, walks.entry_of_all(asked, entry), K, EF, WIDTH, rule, known))
 
 
 @query("predicted_exit")
 def predicted_exit(spark, d):
-    from ..operators import earlyexit
+    """What each query found when its predicted recall was enough, after how many steps, and how many of its truth that are."""
+    _, left = _predicted(spark, d)
+    return _rounded(left.results()).join(left.steps().select(nn.QUERY, "step", "expanded", "hits"), nn.QUERY)
+
+
+@query("predicted_exit_recall", f"WITH {Q} SELECT count(*) AS queries, true AS enough, true AS fewer FROM q")
+def predicted_exit_recall(spark, d):
+    """Whether they keep nine tenths of the truth with fewer steps than full walks."""
+    total = lambda w: w.steps().agg(F.count("*").alias("queries"), F.sum("expanded").alias("n"), F.sum("hits").alias("hits"))
+    full, left = (total(w) for w in _predicted(spark, d))
+    return left.join(full.select(F.col("n").alias("all"))).select("queries", (F.col("hits") >= 0.9 * K * F.col("queries")).alias("enough"), (F.col("n") < F.col("all")).alias("fewer"))
 
-    base, shards = _graph(spark, d)
+
+#: The navigation graph: one vector in so many, degree, trees; beam of its walk.
+NAV, NAV_DEGREE, NAV_TREES, NAV_BEAM = 8, 12, 3, 4
+_NAV = f"vec_id % {NAV} = 3"
+_NAV_WALK = _walk_sql(NAV_BEAM, 1, 1, source="nav", degree=NAV_DEGREE, trees=NAV_TREES)
+
+
+def _entries(asked: DataFrame, base: DataFrame) -> walks.Walk:
+    nav = base.where(_NAV)
+    edges = g.both_ways(g.leaf_edges(nav, NAV_DEGREE, DIMS, NAV_TREES, LEAF, PLANES), NAV_DEGREE)
+    with walks.Graph(g.nodes(nav, edges)) as graph:
+        return walks.walk(asked, graph, walks.entry_of_all(asked, g.medoid_of(nav)), 1, NAV_BEAM, 1)
+
+
+@query("nav_entries", f"WITH RECURSIVE {Q}, nav AS (SELECT vec_id, e FROM v WHERE {_NAV}), {_NAV_WALK}, s AS (SELECT query_id, steps, beam[1] AS b FROM last) SELECT query_id, ix.vec_id, round(b.d,6)+0.0 AS dist, steps::BIGINT AS step, (SELECT coalesce(bool_and(b.d <= dl[t]), true) FROM edges WHERE edges.s = b.i) AS nearest FROM s JOIN ql USING (query_id) JOIN ix ON ix.i = b.i")
+def nav_entries(spark, d):
+    """Where each query enters the base: a greedy walk over a graph of a sample, and whether none of the entry's neighbours there is nearer."""
+    base = _base(spark, d)
+    asked = _asked(base)
+    found = _entries(asked, base)
+    nav = base.where(_NAV)
+    entry = found.results(1).join(found.steps().select(nn.QUERY, "step"), nn.QUERY)
+    edges = g.both_ways(g.leaf_edges(nav, NAV_DEGREE, DIMS, NAV_TREES, LEAF, PLANES), NAV_DEGREE).select(F.col("src").alias(nn.ID), "dst")
+    near = entry.select(nn.QUERY, nn.ID, "dist").join(edges, nn.ID).join(nav.select(F.col(nn.ID).alias("dst"), "embedding"), "dst").join(asked, nn.QUERY)
+    worst = near.groupBy(nn.QUERY).agg(F.min(v.squared_l2(F.col("q"), F.col("embedding")) - F.col("dist")).alias("gap"))
+    return entry.join(worst, nn.QUERY, "left").select(nn.QUERY, nn.ID, r6(F.col("dist")).alias("dist"), "step", (F.coalesce("gap", F.lit(0.0)) >= 0).alias("nearest"))
+
+
+@query("nav_search", f"WITH {Q} SELECT count(*) AS queries, true AS enough, true AS no_more FROM q")
+def nav_search(spark, d):
+    """Whether walks of the base that enter by the navigation graph keep their recall and expand no more nodes than from the medoid."""
+    base = _base(spark, d)
     asked = _asked(base)
-    trace = g.search_traces(asked, shards, K, 50).persist()
-    return earlyexit.stops(trace, earlyexit.train(trace, g.exact_by_shard(asked, base, shards, K), K))
+    entry = _entries(asked, base).results(1).select(nn.QUERY, nn.ID)
+    with walks.Graph(g.nodes(base, _edges(base))) as graph:
+        near = walks.walk(asked, graph, entry, K, EF, WIDTH)
+        far = walks.walk(asked, graph, walks.entry_of_all(asked, g.medoid_of(base)), K, EF, WIDTH)
+    row = ev.recall(near.results(), nn.knn(asked, base, K), K)
+    total = lambda w, c: w.steps().agg(F.sum("expanded").alias(c))
+    return row.join(total(near, "n")).join(total(far, "m")).select("queries", (F.col("recall") >= 0.9).alias("enough"), (F.col("n") <= F.col("m")).alias("no_more"))
 
 
 @query("nav_translate", f"WITH {Q}, d AS (SELECT query_id, vec_id, {_QV} AS dist FROM q, v WHERE vec_id % 10 = 0) {TOP}")
