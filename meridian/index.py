@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import MeridianError
 from .operators import graph as g
+from .operators import walk as w
 from .operators.knn import ID, QUERY, QUERY_VECTOR, VECTOR, knn, merge_top_k
 from .shipping import ship
 from .sources import files
@@ -34,11 +35,10 @@ class VectorIndex:
             self.meta = json.loads(files.read_range(f"{self.path}/meta.json", 0))
         except (OSError, ValueError) as e:
             raise MeridianError(f"no index at {path}: {e}") from e
-        self._shards: list[g.Shard] | None = None
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, degree: int = 16, refine: bool = False) -> VectorIndex:
-        """Exact neighbour graph, pruned; vectors: vec_id, embedding."""
+        """Neighbour graph from leaves of several trees, with neighbours of neighbours if refined; vectors: vec_id, embedding."""
         _positive("degree", degree)
         spark = vectors.sparkSession
         ship(spark)
@@ -48,15 +48,11 @@ class VectorIndex:
             raise MeridianError("there are no vectors")
         if dims[0] != dims[1]:
             raise MeridianError("vectors of different dimensions")
-        # each shard is a graph of its own: no edge leaves it
-        shards = max(1, -(-base.count() * (dims[0] * 8 + degree * 8) // g.SHARD_BYTES))
-        for i in range(shards):
-            own = base if shards == 1 else base.where(F.pmod(F.xxhash64(ID), F.lit(shards)) == i)
-            edges = g.exact_edges(own, 2 * degree)
-            edges = g.refine(edges, own, degree) if refine else g.prune(edges, own, degree)
-            graph = own.join(g.adjacency(edges), ID, "left").withColumn(g.NEIGHBORS, F.coalesce(g.NEIGHBORS, F.array().cast("array<long>")))
-            graph.withColumn("shard", F.lit(i)).write.mode("append" if i else "overwrite").parquet(f"{path}/graph")
-        files.write(f"{path}/meta.json", [json.dumps({"dims": dims[0], "degree": degree, "changes": 0, "shards": shards}).encode()])
+        edges = g.leaf_edges(base, 2 * degree, dims[0])
+        edges = g.nearer(edges, base, 2 * degree) if refine else edges
+        with w.Graph(g.nodes(base, g.both_ways(edges, 2 * degree)), path=f"{path}/graph") as graph:
+            meta = {"dims": dims[0], "degree": degree, "changes": 0, "buckets": graph.buckets, "entry": g.medoid(base)}
+        files.write(f"{path}/meta.json", [json.dumps(meta).encode()])
         return cls(spark, path)
 
     load = classmethod(lambda cls, spark, path: cls(spark, path))
@@ -91,22 +87,23 @@ class VectorIndex:
             queries = self.spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(array)], f"{QUERY} long, {QUERY_VECTOR} array<float>")
         return queries
 
-    def search(self, queries: DataFrame | np.ndarray | Sequence, topk: int = 10, *, ef_search: int = 50, early_exit_policy: str = "none") -> DataFrame:
-        """query_id, rank, vec_id, dist. A matrix of queries is numbered from 0; short results have fewer rows."""
-        _positive("topk", topk), _positive("ef_search", ef_search)
+    def search(self, queries: DataFrame | np.ndarray | Sequence, topk: int = 10, *, ef_search: int = 50, early_exit_policy: str = "none", width: int = 8) -> DataFrame:
+        """query_id, rank, vec_id, dist; width: nodes that a query expands in a round. A matrix of queries is numbered from 0; short results have fewer rows."""
+        _positive("topk", topk), _positive("ef_search", ef_search), _positive("width", width)
         if early_exit_policy not in EARLY_EXIT:
             raise MeridianError(f"early_exit_policy must be one of {EARLY_EXIT}")
         asked = self._queries(queries)
         ship(self.spark)
-        if self._shards is None:
-            rows = self.graph()
-            parts = [p for p in (rows.where(F.col("shard") == i) for i in range(self.meta["shards"])) if not p.isEmpty()]
-            self._shards = [g.shard(p, g.medoid(p)) for p in parts]
         changed = self._changes()
+        spare = topk + ef_search if changed is not None else topk
+        rule = w.pruning() if early_exit_policy == "pruning" else None
+        entry = self.spark.createDataFrame([(self.meta["entry"],)], f"{ID} long")
+        with w.Graph.open(self.spark, f"{self.path}/graph", self.meta["buckets"]) as graph:
+            found = w.walk(asked, graph, w.entry_of_all(asked, entry), spare, max(ef_search, spare), width, rule).results()
         if changed is None:
-            return merge_top_k([g.beam_search(asked, self._shards, topk, max(ef_search, topk), early_exit_policy)], topk)
-        ids, spare = changed.select(ID), topk + ef_search
-        found = g.beam_search(asked, self._shards, spare, spare, early_exit_policy).join(ids, ID, "left_anti")
+            return found
+        ids = changed.select(ID)
+        found = found.join(ids, ID, "left_anti")
         # queries around which more than ef_search vectors have changed are searched again, exactly
         enough = found.groupBy(QUERY).count().where(F.col("count") >= topk).select(QUERY)
         again = knn(asked.join(enough, QUERY, "left_anti"), self.graph().select(ID, VECTOR).join(ids, ID, "left_anti"), topk)

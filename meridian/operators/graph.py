@@ -1,17 +1,8 @@
-"""Proximity graphs: building, pruning, refining, and beam search.
-
-A graph is a table vec_id, embedding, neighbors. Building and pruning are
-relational. A beam search walks from query to query independently; the graph it
-walks is a shard of bounded size sent to executors once, and a larger graph is
-searched as several shards whose results are merged.
-"""
+"""Proximity graphs: building, pruning and refining. A graph is a table vec_id, embedding, neighbors; walk searches it."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, squared_l2
-from .knn import ID, QUERY, QUERY_VECTOR, VECTOR, _matrix, _nearest, knn, merge_top_k, top_k
+from .knn import ID, QUERY, QUERY_VECTOR, VECTOR, _matrix, _nearest, knn, top_k
 from .rank import ranked
 
-NEIGHBORS, SHARD = "neighbors", "shard"
-#: Bytes of a shard that is sent to executors.
-SHARD_BYTES = 256 << 20
+NEIGHBORS = "neighbors"
 
 
 def exact_edges(vectors: DataFrame, degree: int) -> DataFrame:
@@ -142,169 +131,7 @@ def medoid(vectors: DataFrame) -> int:
     return medoid_of(vectors).first()[0]
 
 
-@dataclass
-class Shard:
-    """A graph in memory: ids, vectors, neighbours as places, and code distances that steer a walk."""
-
-    ids: np.ndarray
-    vectors: np.ndarray
-    start: np.ndarray
-    neighbors: np.ndarray
-    entry: int
-    codes: np.ndarray | None = None
-    books: np.ndarray | None = None
-    entries: np.ndarray | None = None
-    #: Which of how many parts of the vectors it is.
-    part: tuple[int, int] = (0, 1)
-
-    def steer(self, q: np.ndarray):
-        """Distances by which the beam is ordered: of codes if there are any, else exact."""
-        if self.codes is None:
-            return lambda at: ((self.vectors[at] - q) ** 2).sum(1)
-        m, _, size = self.books.shape
-        table = ((self.books - q.reshape(m, 1, size)) ** 2).sum(2)
-        return lambda at: table[np.arange(m)[None], self.codes[at]].sum(1)
-
-    def search(self, q: np.ndarray, k: int, ef: int, stop: str = "none", trace: list | None = None) -> list[tuple[float, int]]:
-        """(distance, place): the k nearest among the nodes expanded.
-
-        The beam holds ef nodes by steering distance, then place. The nearest
-        one not expanded is expanded: its neighbours join the beam, itself the
-        result, by its exact distance. It ends when all of the beam is expanded.
-        """
-        steer = self.steer(q)
-        entry = self.entry
-        if self.entries is not None:
-            entry = int(self.entries[((self.vectors[self.entries] - q) ** 2).sum(1).argmin()])
-        beam = [(float(steer(np.array([entry]))[0]), entry)]
-        seen, done, best = {entry}, set(), []
-        step, quiet, before = 0, 0, None
-        while True:
-            following = next((x for x in beam[:ef] if x[1] not in done), None)
-            if following is None:
-                break
-            node = following[1]
-            done.add(node)
-            exact = float(((self.vectors[node] - q) ** 2).sum())
-            item = (-exact, -node)
-            if len(best) < k:
-                heapq.heappush(best, item)
-            elif item > best[0]:
-                heapq.heapreplace(best, item)
-            near = [n for n in self.neighbors[self.start[node] : self.start[node + 1]].tolist() if n not in seen]
-            if near:
-                seen.update(near)
-                beam = sorted(beam + list(zip(steer(np.array(near)).tolist(), near, strict=True)))[:ef]
-            state = (len(best), max(best)[0], best[0][0])
-            if trace is not None:
-                trace.append((step, node, *state))
-            step += 1
-            quiet = quiet + 1 if before is not None and not any(a > b for a, b in zip(state, before, strict=True)) else 0
-            before = state
-            if stop == "pruning" and step >= 10 and quiet >= 8:
-                break
-        return sorted((-d, -n) for d, n in best)
-
-
-def shard(graph: DataFrame, entry: int, codes: DataFrame | None = None, books: np.ndarray | None = None, entries: list[int] | None = None) -> Shard:
-    """A graph table in memory; the caller has seen to its size."""
-    rows = graph.select(ID, as_double(F.col(VECTOR)).alias(VECTOR), NEIGHBORS).orderBy(ID).toArrow()
-    ids = rows[ID].to_numpy()
-    lists = rows[NEIGHBORS].combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    place = np.searchsorted(ids, flat)
-    there = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == flat)
-    owner = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths().fill_null(0)))
-    start = np.searchsorted(owner[there], np.arange(len(ids) + 1))
-    own = None
-    if codes is not None:
-        coded = codes.orderBy(ID).toArrow()
-        own = np.array(coded["codes"].to_pylist(), int)
-    at = np.searchsorted(ids, entries) if entries is not None else None
-    return Shard(ids, _matrix(rows[VECTOR].combine_chunks()), start, place[there], int(np.searchsorted(ids, entry)), own, books, at)
-
-
-def beam_search(queries: DataFrame, shards: list[Shard], k: int, ef: int, stop: str = "none") -> DataFrame:
-    """query_id, rank, vec_id, dist; ids are distinct and distances exact. Queries are dealt over tasks."""
-    if stop not in ("none", "pruning"):
-        raise ValueError(f"unknown early exit: {stop}")
-    parts = []
-    for one in shards:
-        held = queries.sparkSession.sparkContext.broadcast(one)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            graph = held.value
-            for batch in batches:
-                asked, ids, dist = [], [], []
-                for number, q in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else [], strict=True):
-                    for d, n in graph.search(q, k, ef, stop):
-                        asked.append(number)
-                        ids.append(int(graph.ids[n]))
-                        dist.append(d)
-                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], [QUERY, ID, "dist"])
-
-        slim = queries.select(F.col(QUERY).cast("long").alias(QUERY), as_double(F.col(QUERY_VECTOR)).alias(QUERY_VECTOR))
-        parts.append(slim.mapInArrow(run, f"{QUERY} long, {ID} long, dist double"))
-    return merge_top_k(parts, k)
-
-
-def search_traces(queries: DataFrame, shards: list[Shard], k: int, ef: int) -> DataFrame:
-    """query_id, shard, step, vec_id, found, top1, topk: every expansion of every query in every shard."""
-    return reduce(DataFrame.unionByName, (search_trace(queries, one, k, ef).withColumn(SHARD, F.lit(i)) for i, one in enumerate(shards)))
-
-
-def search_trace(queries: DataFrame, one: Shard, k: int, ef: int) -> DataFrame:
-    """query_id, step, vec_id, found, top1, topk: every expansion of every query in one shard."""
-    held = queries.sparkSession.sparkContext.broadcast(one)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = held.value
-        for batch in batches:
-            rows = []
-            for number, q in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else [], strict=True):
-                trace: list = []
-                graph.search(q, k, ef, trace=trace)
-                rows += [{QUERY: number, "step": s, ID: int(graph.ids[n]), "found": f, "top1": -a, "topk": -z} for s, n, f, a, z in trace]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([(QUERY, pa.int64()), ("step", pa.int64()), (ID, pa.int64()), ("found", pa.int64()), ("top1", pa.float64()), ("topk", pa.float64())]))
-
-    slim = queries.select(F.col(QUERY).cast("long").alias(QUERY), as_double(F.col(QUERY_VECTOR)).alias(QUERY_VECTOR))
-    return slim.mapInArrow(run, f"{QUERY} long, step long, {ID} long, found long, top1 double, topk double")
-
-
-def early_exit_features(trace: DataFrame) -> DataFrame:
-    """Features of each step that a recall predictor is trained on."""
-    gap = F.when(F.col("topk") > 0, (F.col("topk") - F.col("top1")) / F.nullif(F.col("topk"), F.lit(0.0))).otherwise(F.lit(0.0))
-    return trace.withColumn("gap_ratio", gap)
-
-
-def _belongs(part: tuple[int, int]) -> Column:
-    """Whether a row is of part i of n."""
-    return F.lit(True) if part[1] == 1 else F.pmod(F.xxhash64(ID), F.lit(part[1])) == part[0]
-
-
-def exact_by_shard(queries: DataFrame, vectors: DataFrame, shards: list[Shard], k: int) -> DataFrame:
-    """query_id, shard, rank, vec_id, dist: the nearest vectors in each shard of shard_graph(vectors, ...)."""
-    return reduce(DataFrame.unionByName, (knn(queries, vectors.where(_belongs(one.part)), k).withColumn(SHARD, F.lit(i)) for i, one in enumerate(shards)))
-
-
 def to_base(found: DataFrame, names: DataFrame) -> DataFrame:
     """found with the ids of a navigation graph replaced by those of the base; names: nav_id, vec_id."""
     rows = found.withColumnRenamed(ID, "nav_id").join(names.select("nav_id", ID), "nav_id")
     return rows.select(*found.columns)
-
-
-def shard_graph(vectors: DataFrame, link: Callable[[DataFrame], DataFrame], shard_bytes: int = SHARD_BYTES, row_bytes: int = 1024) -> list[Shard]:
-    """The graph as shards of bounded size, each with its own medoid and with link(its vectors) as its edges.
-
-    No edge leaves a shard, so a search of all of them finds what one of the whole finds.
-    """
-    n = max(1, -(-vectors.count() * row_bytes // shard_bytes))
-    out = []
-    for i in range(n):
-        own = vectors.where(_belongs((i, n)))
-        if n > 1 and own.isEmpty():
-            continue
-        rows = own.join(adjacency(link(own)), ID, "left").withColumn(NEIGHBORS, F.coalesce(NEIGHBORS, F.array().cast("array<long>")))
-        out.append(shard(rows, medoid(rows)))
-        out[-1].part = (i, n)
-    return out

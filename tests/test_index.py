@@ -45,21 +45,6 @@ def test_recall_rises_with_ef(spark, points, index):
     assert ev.recall(pruned, truth, 5).first()["recall"] > 0.6
 
 
-def test_shards_find_as_much_as_one_graph(spark, points, tmp_path, monkeypatch):
-    _, vectors = points
-    asked = nn.as_queries(vectors.where("vec_id < 40"))
-    truth = {(r.query_id, r.vec_id) for r in nn.knn(asked, vectors, 5).collect()}
-    shards = g.shard_graph(vectors, lambda own: g.exact_edges(own, 12), shard_bytes=110 * 1024)
-    assert len(shards) == 4
-    found = {(r.query_id, r.vec_id) for r in g.beam_search(asked, shards, 5, 50).collect()}
-    assert len(found & truth) >= 0.95 * len(truth)
-    monkeypatch.setattr(g, "SHARD_BYTES", 30_000)
-    index = VectorIndex.build(vectors, str(tmp_path / "shards"), 12)
-    assert index.meta["shards"] > 1
-    found = {(r.query_id, r.vec_id) for r in index.search(asked, 5).collect()}
-    assert len(found & truth) >= 0.95 * len(truth)
-
-
 def test_arrays_and_one_query(points, index):
     ids, dist = index.search_arrays(points[0][3], 4)
     assert ids.shape == dist.shape == (1, 4) and ids[0, 0] == 3
@@ -116,13 +101,6 @@ def test_repeated_queries_are_numbered_on(spark, points):
     assert sorted((r.query_id, r["round"]) for r in asked.collect()) == [(3, 0), (8, 0), (12, 1), (17, 1), (21, 2), (26, 2)]
 
 
-def test_cycles_give_distinct_ids():
-    x = np.arange(6.0)[:, None]
-    graph = g.Shard(np.arange(6) * 10, x, np.array([0, 2, 4, 6, 8, 10, 11]), np.array([1, 0, 0, 2, 1, 3, 2, 4, 3, 5, 0]), 0)
-    found = graph.search(np.array([4.2]), 3, 6)
-    assert [n for _, n in found] == [4, 5, 3] and len({n for _, n in found}) == 3
-
-
 def test_pruning_rule(spark, points):
     _, vectors = points
     edges = g.exact_edges(vectors, 10).persist()
