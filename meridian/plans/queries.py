@@ -19,9 +19,12 @@ from ..operators import graph as g
 from ..operators import ivf, kmeans, knn as nn
 from ..operators import walk as walks
 from ..operators import quantize as qz
+from ..operators.rank import ranked
 from ..shipping import ship
 from ..sources import logs
+from ..scratch import scratch_path
 from ..sources.indexes import stripe
+from ..streaming import maintain
 from . import bench
 
 K, DIMS, CHUNKS, CODES = 10, 64, 8, 64
@@ -222,10 +225,9 @@ def radius_search(spark, d):
 
 @query("even_sample", "WITH o AS (SELECT event_id, row_number() OVER (ORDER BY event_id)-1 AS i, count(*) OVER () AS n FROM events) SELECT event_id FROM o WHERE i IN (SELECT (s*(n-1))//(49) FROM (SELECT unnest(range(0,50)) AS s), (SELECT count(*) AS n FROM events))")
 def even_sample(spark, d):
-    rows = _table(spark, d, "events").select("event_id")
+    rows = ranked(_table(spark, d, "events").select("event_id"), "event_id", rank=nn.QUERY)
     n = rows.count()
-    # ids of this table are its row numbers
-    return nn.even_sample(rows.withColumn(nn.QUERY, F.col("event_id")), n, n, 50).select("event_id")
+    return nn.even_sample(rows, n, n, 50).select("event_id")
 
 
 # -- recall ------------------------------------------------------------------
@@ -744,6 +746,38 @@ def nav_translate(spark, d):
     return _rounded(g.to_base(nn.knn(_asked(base), nav.select(nn.ID, "embedding"), K), names))
 
 
+#: Bounds of the lists that a stream keeps, and lists around one that changes.
+LEAST, MOST, AROUND = 10, 60, 16
+
+
+def _streamed(spark, d) -> maintain.Lists:
+    """Three batches: even ids, then odd ones and deletes of every seventh, then every 35th again; the last is also replayed."""
+    base = _base(spark, d).select(F.col(nn.ID).cast("long").alias(nn.ID), "embedding")
+    path, lists = scratch_path(spark, "changes"), scratch_path(spark, "lists")
+    none = F.lit(None).cast("array<float>")
+    i = F.col(nn.ID)
+    added = lambda where: base.where(where).withColumn("deleted", F.lit(False))
+    deleted = base.where(i % 7 == 0).select(nn.ID, none.alias("embedding"), F.lit(True).alias("deleted"))
+    own = maintain.Lists.create(ivf.label_centroids(base.join(_base(spark, d).select(nn.ID, "label"), nn.ID)), lists, LEAST, MOST, AROUND)
+    for n, rows in enumerate((added(i % 2 == 0), added(i % 2 == 1).unionByName(deleted), added(i % 35 == 0))):
+        rows.coalesce(1).write.parquet(f"{path}/{n}")
+        changes = spark.readStream.schema(rows.schema).parquet(f"{path}/*")
+        own.follow(changes, f"{lists}/checkpoint").awaitTermination()
+    if own.apply(added(i % 35 == 1), own.state()[1]):
+        raise AssertionError("a replayed batch was taken again")
+    return own
+
+
+@query("stream_lists", f"SELECT vec_id, true AS in_bounds, true AS once FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 35 = 0")
+def stream_lists(spark, d):
+    """Vectors in the lists after a stream of inserts and deletes, whether their list's size is in bounds, and whether they are there once."""
+    rows = _streamed(spark, d).rows()
+    sizes = rows.groupBy("centroid_id").agg(F.count("*").alias("n"))
+    sizes = sizes.select("centroid_id", F.col("n").between(LEAST, MOST).alias("in_bounds"))
+    held = rows.groupBy(nn.ID).agg(F.count("*").alias("times"), F.min("centroid_id").alias("centroid_id"))
+    return held.join(sizes, "centroid_id").select(nn.ID, "in_bounds", (F.col("times") == 1).alias("once"))
+
+
 @query("tail_heads", f"WITH {Q}, h AS (SELECT vec_id//10 AS head_id, e AS c FROM v WHERE vec_id % 10 = 0), t AS (SELECT vec_id, head_id, {L2.format(a='e', b='c')} AS dist FROM v, h WHERE vec_id % 10 <> 0) SELECT vec_id, rank, head_id, round(dist,6)+0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, head_id) AS rank FROM t) WHERE rank <= 4")
 def tail_heads(spark, d):
     """Heads are every tenth vector; the others are searched for their nearest heads."""
