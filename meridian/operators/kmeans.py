@@ -1,4 +1,4 @@
-"""K-means over distributed vectors, balanced if asked, and clustering by splitting."""
+"""K-means over distributed vectors, balanced if asked."""
 
 from __future__ import annotations
 
@@ -94,21 +94,3 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 10, balance: float = 0.
 def extremes(assigned: DataFrame) -> DataFrame:
     """centroid_id, n, nearest, farthest member of each cluster."""
     return assigned.groupBy("centroid_id").agg(F.count("*").alias("n"), F.min_by(ID, F.struct("dist", ID)).alias("nearest"), F.max_by(ID, F.struct(F.col("dist"), -F.col(ID))).alias("farthest"))
-
-
-def hierarchical(x: np.ndarray, leaves: int, branch: int = 32, balance: float = 0.05, seed: int = 0) -> np.ndarray:
-    """Centres by splitting the largest leaf until there are enough; over a sample in memory."""
-    parts = [np.arange(len(x))]
-    while len(parts) < leaves:
-        big = max(range(len(parts)), key=lambda i: len(parts[i]))
-        own = parts[big]
-        if len(own) < 2:
-            break
-        k = min(branch, leaves - len(parts) + 1, len(own))
-        label = lloyd(x[own], k, 5, seed)[1]
-        split = [own[label == i] for i in range(k) if (label == i).any()]
-        if len(split) < 2:
-            half = len(own) // 2
-            split = [own[:half], own[half:]]
-        parts[big : big + 1] = split
-    return np.stack([x[p].mean(0) for p in parts])

@@ -102,21 +102,6 @@ def rotate(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
     return vectors.select(ID, as_double(F.col(VECTOR)).alias(VECTOR)).mapInArrow(run, f"{ID} long, {VECTOR} array<double>")
 
 
-def train_rotation(x: np.ndarray, chunks: int, codes: int, rounds: int = 5, seed: int = 0) -> np.ndarray:
-    """Optimised rotation by turns: quantise the rotated sample, then solve the orthogonal Procrustes problem."""
-    r = np.eye(x.shape[1])
-    for _ in range(rounds):
-        y = x @ r
-        parts = np.split(y, chunks, axis=1)
-        coded = []
-        for part in parts:
-            centres, label = lloyd(part, min(codes, len(part)), 3, seed)[:2]
-            coded.append(centres[label])
-        u, _, vt = np.linalg.svd(x.T @ np.concatenate(coded, axis=1))
-        r = u @ vt
-    return r
-
-
 # -- scalar quantisation -----------------------------------------------------
 
 

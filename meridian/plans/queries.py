@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import stats, vectors as v
 from ..operators import evaluate as ev
 from ..operators import graph as g
-from ..operators import ivf, kmeans, knn as nn
+from ..operators import balanced, ivf, kmeans, knn as nn
 from ..operators import walk as walks
 from ..operators import quantize as qz
+from ..operators import rotated
 from ..operators.rank import ranked
 from ..shipping import ship
 from ..sources import logs
-from ..scratch import scratch_path
+from ..scratch import cut, scratch_path
 from ..sources.indexes import stripe
 from ..streaming import maintain
 from . import bench
@@ -506,6 +507,56 @@ def pq_trained(spark, d):
     return _rounded(ivf.rerank(nn.top_k(scored, 100), _asked(base), base, K))
 
 
+def _residual_code(spark, d, rotate: bool) -> tuple[DataFrame, rotated.Code]:
+    _, centroids, _, lists = _ivf(spark, d)
+    own = ivf.residuals(lists, centroids).select(nn.ID, "embedding")
+    return own, rotated.train(own, DIMS, CHUNKS, CODES, rotate=rotate)
+
+
+@query("opq_error", "SELECT count(*) AS vectors, true AS better FROM embeddings")
+def opq_error(spark, d):
+    """Whether a trained rotation brings codes of residuals nearer to them than codes without one."""
+    own, code = _residual_code(spark, d, True)
+    plain = _residual_code(spark, d, False)[1]
+    better = rotated.error(own, code) < rotated.error(own, plain)
+    return own.agg(F.count("*").alias("vectors")).withColumn("better", F.lit(better))
+
+
+@query("opq_codes", f"SELECT vec_id, {CHUNKS}::INTEGER AS chunks, true AS nearest FROM embeddings")
+def opq_codes(spark, d):
+    """Codes of residuals behind a trained rotation, and whether they are the nearest code words by the book's table."""
+    own, code = _residual_code(spark, d, True)
+    coded = rotated.encode(own, code)
+    turned = qz.rotate(own, code.rotation)
+    other = qz.encode(turned, rotated.book_table(spark, code), CHUNKS, DIMS).select(nn.ID, F.col("codes").alias("other"))
+    return coded.join(other, nn.ID).select(nn.ID, F.size("codes").alias("chunks"), (F.col("codes") == F.col("other").cast("array<int>")).alias("nearest"))
+
+
+#: Vectors of a leaf at most, and rows of a leaf that one task splits.
+LEAF_CAP, LEAF_TASK = 10, 400
+
+
+@query("balanced_leaves", "SELECT vec_id, true AS in_bounds, true AS once FROM embeddings")
+def balanced_leaves(spark, d):
+    """Every vector's leaf: whether it is in one leaf only and the leaf in bounds."""
+    leaves = balanced.balanced_leaves(_base(spark, d), LEAF_CAP, task_rows=LEAF_TASK)
+    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n"))
+    held = leaves.groupBy(nn.ID).agg(F.count("*").alias("times"), F.min("leaf").alias("leaf")).join(sizes, "leaf")
+    return held.select(nn.ID, (F.col("n") <= LEAF_CAP).alias("in_bounds"), (F.col("times") == 1).alias("once"))
+
+
+@query("balanced_heads", f"SELECT count(*) AS vectors, true AS enough, true AS members, true AS closer FROM embeddings")
+def balanced_heads(spark, d):
+    """Whether there is a head for every ten vectors at least, each of its own leaf, and leaves are tighter than runs of ids of the same sizes."""
+    leaves = cut(balanced.balanced_leaves(_base(spark, d), LEAF_CAP, task_rows=LEAF_TASK), "leaves")
+    heads = balanced.heads(leaves)
+    of = heads.join(leaves.select(F.col(nn.ID).alias("head"), F.col("leaf").alias("own")), "head").agg(F.count("*").alias("heads"), F.every(F.col("leaf") == F.col("own")).alias("members"))
+    spread = lambda rows: rows.select("leaf", F.posexplode("embedding").alias("d", "x")).groupBy("leaf", "d").agg((F.var_pop("x") * F.count("*")).alias("s")).agg(F.sum("s").alias("s"))
+    ran = ranked(leaves.select(nn.ID, "embedding"), nn.ID).select("embedding", F.floor(F.col("rank") / LEAF_CAP).alias("leaf"))
+    every = leaves.agg(F.count("*").alias("vectors")).join(of).join(spread(leaves)).join(spread(ran).select(F.col("s").alias("t")))  # a row each
+    return every.select("vectors", (F.col("heads") * LEAF_CAP >= F.col("vectors")).alias("enough"), "members", (F.col("s") < F.col("t")).alias("closer"))
+
+
 @query("kmeans_balanced")
 def kmeans_balanced(spark, d):
     base = _base(spark, d)

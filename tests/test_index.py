@@ -129,7 +129,6 @@ def test_clusters(spark, points):
     assert spread(centres) < spread(x[:1]) and centres.shape == (10, 8)
     even = kmeans.assign_step(vectors, kmeans.kmeans(vectors, 10, 8, 0.3), np.zeros(10)).groupBy("centroid_id").count().agg(F.max("count")).first()[0]
     assert even < 120
-    assert len(kmeans.hierarchical(x, 13, 4)) == 13
 
 
 def test_layout(spark):
