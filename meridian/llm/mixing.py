@@ -3,12 +3,13 @@
 Each source is a queue of its documents in shuffled order, once for each time
 that a document may be taken. Every (document, round) is an entry of the mix,
 with a virtual finish time: the number of its source's words up to and with it,
-divided by the source's target weight. The entries of all sources are
-range-sorted by finish time and truncated where the total budget is spent: with
-weights that are the targets themselves that is virtual time 1, and of the
-entry that a source then serves only the words up to the cut are taken. So
-every source ends within a word of its target. What is taken of a document is
-the sum over its entries.
+divided by the source's target weight, and the mix is range-sorted by it. With
+weights that are the targets themselves the total budget is spent at virtual
+time 1 in every source, so where the cut falls is known before the sort: an
+entry takes its words up to its source's target, computed from the words before
+it in its own queue, and the sort orders what was taken. So every source ends
+within a word of its target. What is taken of a document is the sum over its
+entries.
 
 Cumulative words never need a source in one task: shuffle keys are uniform, so
 (source, leading bits of the key) makes blocks of bounded expected size; words
