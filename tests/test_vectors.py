@@ -134,12 +134,3 @@ def test_additive_codes_improve_on_one_book():
     codes = qz.additive_encode(x, books)
     near = ((x[:, None] - books[0][None]) ** 2).sum(2).min(1)
     assert ((x - books[0][codes[:, 0]] - books[1][codes[:, 1]]) ** 2).sum() < near.sum()
-
-
-def test_rotation_is_orthogonal(spark):
-    x = np.random.default_rng(1).normal(size=(60, 6))
-    r = qz.train_rotation(x, 3, 4)
-    assert np.allclose(r @ r.T, np.eye(6), atol=1e-8)
-    rows = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r_.vec_id: r_.embedding for r_ in qz.rotate(rows, r).collect()}
-    assert np.allclose(got[7], x[7] @ r)
