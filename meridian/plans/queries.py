@@ -467,15 +467,37 @@ _RBOOK = f"st AS (SELECT greatest(1, count(*)//{CODES}) AS step FROM v), rb AS (
 @query("ivfpq_search", f"WITH {Q}, {_MEANS}, {_LISTS}, {_PROBES}, {_RES}, {_RBOOK}, n AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({L2.format(a='qr', b='y')},9), vec_id) AS k FROM qres JOIN dec USING (centroid_id)) WHERE k <= {CANDIDATES}), d AS (SELECT query_id, vec_id, {_QV} AS dist FROM n JOIN q USING (query_id) JOIN v USING (vec_id)) {TOP}")
 def ivfpq_search(spark, d):
     base, centroids, asked, lists = _ivf(spark, d)
-    # code words are parts of CODES residuals that lie evenly among the ids
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / CODES))
-    even = ivf.residuals(lists, centroids).join(F.broadcast(base.agg(F.count("*").alias("n")))).where(F.col(nn.ID) % step == 0)  # one row
-    book = qz.codebook_from_vectors(even.withColumn(nn.ID, F.floor(F.col(nn.ID) / step)), CODES, CHUNKS, DIMS)
+    book = _residual_book(base, centroids, lists)
     coded = ivf.encode_residuals(lists, centroids, book, CHUNKS, DIMS)
     found = ivf.scan_residual_codes(ivf.residual_queries(ivf.probe(asked, centroids, PROBES), asked, centroids), coded, book, CANDIDATES, CHUNKS, DIMS)
     return _rounded(ivf.rerank(found, asked, base, K))
 
 
+@query("ivfpq_stored", SQL["ivfpq_search"])
+def ivfpq_stored(spark, d):
+    """The same search with the terms of lists, chunks and codes stored, and one table a query."""
+    base, centroids, asked, lists = _ivf(spark, d)
+    book = _residual_book(base, centroids, lists)
+    coded = ivf.encode_residuals(lists, centroids, book, CHUNKS, DIMS)
+    stored = ivf.with_stored(coded, ivf.stored_terms(centroids, book, CHUNKS, DIMS))
+    found = ivf.scan_stored(ivf.probe(asked, centroids, PROBES), stored, ivf.product_tables(asked, book, CHUNKS, DIMS), CANDIDATES)
+    return _rounded(ivf.rerank(found, asked, base, K))
+
+
+@query("ivfpq_terms", f"WITH {Q}, {_MEANS}, {_LISTS}, {_PROBES}, {_RES}, {_RBOOK} SELECT m.centroid_id, rb.c::INTEGER AS chunk, rb.code::INTEGER AS code, round(list_inner_product(rb.s,rb.s)+2.0*list_inner_product(centroid[rb.c*8+1:rb.c*8+8],rb.s),6)+0.0 AS term FROM m, rb")
+def ivfpq_terms(spark, d):
+    base, centroids, _, lists = _ivf(spark, d)
+    terms = ivf.stored_terms(centroids, _residual_book(base, centroids, lists), CHUNKS, DIMS)
+    return terms.select("centroid_id", "chunk", "code", r6(F.col("term")).alias("term"))
+
+
+def _residual_book(base: DataFrame, centroids: DataFrame, lists: DataFrame) -> DataFrame:
+    # code words are parts of CODES residuals that lie evenly among the ids
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / CODES))
+    even = ivf.residuals(lists, centroids).join(F.broadcast(base.agg(F.count("*").alias("n")))).where(F.col(nn.ID) % step == 0)  # one row
+    return qz.codebook_from_vectors(even.withColumn(nn.ID, F.floor(F.col(nn.ID) / step)), CODES, CHUNKS, DIMS)
+
+
 def _own_codes(x: str) -> str:
     top = f"list_max([abs(x) for x in {x}])"
     return f"CASE WHEN {top}>0 THEN {top}/127.0 ELSE 1.0 END"
