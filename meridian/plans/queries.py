@@ -215,7 +215,7 @@ def knn_reconstruct(spark, d):
 def knn_sharded(spark, d):
     base = _base(spark, d)
     asked = _asked(base)
-    return _rounded(nn.merge_top_k([nn.knn(asked, base.where(F.col("label") % 3 == i), K) for i in range(3)], K))
+    return _rounded(nn.merge_top_k([nn.knn(asked, base.where(F.pmod(F.coalesce("label", F.lit(0)), F.lit(3)) == i), K) for i in range(3)], K))
 
 
 @query("radius_search", f"WITH {Q} SELECT query_id, vec_id, round({_QV},6)+0.0 AS dist FROM q, v WHERE {_QV} <= 1.2")
@@ -407,12 +407,17 @@ def cluster_search(spark, d):
     return _rounded(ivf.rerank(nn.top_k(scored, CANDIDATES), asked, base, K))
 
 
-# candidates come by exact distance, so the batches after the first bring nothing
-@query("rerank_stable", _knn_sql(_QV))
+_STABLE = f"c AS (SELECT n.query_id, n.vec_id, (n.r - 1) // 32 AS batch, {_QV} AS dist FROM n JOIN q USING (query_id) JOIN v USING (vec_id)), tops AS (SELECT * FROM (SELECT query_id, b, vec_id, batch, dist, row_number() OVER (PARTITION BY query_id, b ORDER BY dist, vec_id) AS rank FROM (SELECT DISTINCT query_id, batch AS b FROM c) JOIN c USING (query_id) WHERE batch <= b) WHERE rank <= 10), fresh AS (SELECT query_id, b, count(*) FILTER (batch = b) AS fresh FROM tops GROUP BY 1, 2), stop AS (SELECT query_id, coalesce(min(b) FILTER (b >= 2 AND fresh < 1 AND before < 1), max(b)) AS b FROM (SELECT *, lag(fresh) OVER (PARTITION BY query_id ORDER BY b) AS before FROM fresh) GROUP BY 1)"
+
+
+@query("rerank_stable", f"WITH {Q}, {_SUBS}, {_BOOK}, {_CODES}, {_LUT}, {_ADC}, n AS (SELECT query_id, vec_id, r FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dist,9), vec_id) AS r FROM adc) WHERE r <= {CANDIDATES}), {_STABLE} SELECT query_id, rank, vec_id, round(dist,6)+0.0 AS dist FROM tops JOIN stop USING (query_id, b)")
 def rerank_stable(spark, d):
-    base = _base(spark, d)
+    """Candidates come in the order of their codes, 32 at a time, until two batches in a row bring none of the nearest ten."""
+    base, book = _pq(spark, d)
     asked = _asked(base)
-    return _rounded(ivf.rerank_until_stable(nn.knn(asked, base, 100), asked, base, K))
+    scored = qz.lookup_tables(asked, book, CHUNKS, DIMS).join(qz.encode(base, book, CHUNKS, DIMS))
+    scored = scored.select(nn.QUERY, nn.ID, F.round(qz.adc(F.col("lut"), F.col("codes")), 9).alias("dist"))
+    return _rounded(ivf.rerank_until_stable(nn.top_k(scored, CANDIDATES), asked, base, K))
 
 
 _RANGES = "rg AS (SELECT list(l ORDER BY i) AS low, list(h ORDER BY i) AS high FROM (SELECT i, min(e[i]) AS l, max(e[i]) AS h FROM v, (SELECT unnest(range(1,65)) AS i) GROUP BY i))"
