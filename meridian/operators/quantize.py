@@ -194,36 +194,3 @@ def score_clusters(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(ids), pa.array(value)], [QUERY, ID, "dist"])
 
     return joined.mapInArrow(run, f"{QUERY} long, {ID} long, dist double")
-
-
-def additive_encode(x: np.ndarray, books: np.ndarray, rounds: int = 4, seed: int = 0) -> np.ndarray:
-    """[vector, book] codes whose words add up near to each vector, by iterated conditional modes with random restarts.
-
-    books: [book, code, dim]. Each book's code is chosen in turn, the others
-    held; a perturbed start is kept where it ends nearer.
-    """
-    rng = np.random.default_rng(seed)
-    m, n_codes, _ = books.shape
-    norms = (books**2).sum(2)
-    codes = np.zeros((len(x), m), int)
-
-    def error(c: np.ndarray) -> np.ndarray:
-        return ((x - sum(books[i][c[:, i]] for i in range(m))) ** 2).sum(1)
-
-    def settle(c: np.ndarray) -> np.ndarray:
-        c = c.copy()
-        for _ in range(3):
-            for i in range(m):
-                rest = x - sum(books[j][c[:, j]] for j in range(m) if j != i)
-                c[:, i] = (norms[i][None] - 2 * rest @ books[i].T).argmin(1)
-        return c
-
-    codes = settle(codes)
-    for _ in range(rounds):
-        trial = codes.copy()
-        which = rng.integers(0, m, len(x))
-        trial[np.arange(len(x)), which] = rng.integers(0, n_codes, len(x))
-        trial = settle(trial)
-        better = error(trial) < error(codes)
-        codes[better] = trial[better]
-    return codes

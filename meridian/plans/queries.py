@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, vectors as v
 from ..operators import evaluate as ev
 from ..operators import graph as g
-from ..operators import balanced, ivf, kmeans, knn as nn
+from ..operators import additive, balanced, ivf, kmeans, knn as nn
 from ..operators import walk as walks
 from ..operators import quantize as qz
 from ..operators import rotated
@@ -584,6 +584,23 @@ def balanced_heads(spark, d):
     return every.select("vectors", (F.col("heads") * LEAF_CAP >= F.col("vectors")).alias("enough"), "members", (F.col("s") < F.col("t")).alias("closer"))
 
 
+#: Books of additive codes and words of each.
+BOOKS, WORDS = 4, 16
+
+
+@query("additive_codes", f"SELECT vec_id, {BOOKS}::INTEGER AS books, true AS settled FROM embeddings")
+def additive_codes(spark, d):
+    """Codes of each vector, and whether changing any one of them would not lower its error, by the words themselves."""
+    base = _base(spark, d)
+    books = additive.train_books(base, BOOKS, WORDS)
+    coded, table = additive.encode(base, books), additive.book_table(spark, books)
+    rest = additive.left_over(base, coded, table)
+    mine = rest.select(nn.ID, "codes", "rest", F.posexplode("codes").alias("book", "code")).join(F.broadcast(table), ["book", "code"])
+    other = table.select("book", F.col("code").alias("to"), F.col("word").alias("new"))
+    tried = mine.join(F.broadcast(other), "book").select(nn.ID, "codes", v.squared_norm(F.col("rest")).alias("error"), v.squared_l2(F.zip_with("rest", "word", lambda a, b: a + b), F.col("new")).alias("changed"))
+    return tried.groupBy(nn.ID).agg(F.first(F.size("codes")).alias("books"), F.every(F.col("changed") >= F.col("error") - 1e-6).alias("settled"))
+
+
 @query("kmeans_balanced")
 def kmeans_balanced(spark, d):
     base = _base(spark, d)

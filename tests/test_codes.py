@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from meridian.operators import balanced, rotated
+from meridian.operators import additive, balanced, rotated
 from meridian.operators import quantize as qz
 from meridian.shipping import ship
 
@@ -68,3 +68,22 @@ def test_leaves_are_bounded(spark, task_rows):
         gap = ((y - y.mean(0)) ** 2).sum(1)
         assert r.n == len(own) and gap[list(own).index(r["head"])] == pytest.approx(gap.min(), abs=1e-9)
     assert balanced.balanced_leaves(vectors.limit(0), 5).isEmpty()
+
+
+def test_additive_codes_are_settled(spark, mixed):
+    x, vectors = mixed
+    books = additive.train_books(vectors, 3, 6)
+    got = {r.vec_id // 2: r.codes for r in additive.encode(vectors, books).collect()}
+    codes = np.array([got[i] for i in range(600)])
+    error = lambda c: ((x - books[np.arange(3)[None], c].sum(1)) ** 2).sum(1)
+    now = error(codes)
+    for b in range(3):
+        for word in range(6):
+            changed = codes.copy()
+            changed[:, b] = word
+            assert (error(changed) >= now - 1e-6).all()
+    near = ((x[:, None] - books[0][None]) ** 2).sum(2).min(1)
+    assert now.sum() < 0.5 * near.sum()
+    assert additive.encode(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>"), books).isEmpty()
+    left = additive.left_over(vectors, additive.encode(vectors, books), additive.book_table(spark, books)).where("vec_id = 14").first()
+    assert left.rest == pytest.approx((x[7] - books[np.arange(3), codes[7]].sum(0)).tolist())

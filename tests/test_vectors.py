@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from meridian.functions import stats, vectors as v
 from meridian.operators import evaluate as ev
 from meridian.operators import knn as nn
-from meridian.operators import quantize as qz
 
 
 def value(spark, f, a, b):
@@ -126,11 +125,3 @@ def test_fronts_skip_what_is_no_number(spark):
     assert sorted((r.lat, r.qps) for r in ev.pareto(rows, ["k"], "lat", "qps").collect()) == [(1.0, 12.0), (4.0, 13.0)]
     assert ev.best_under(rows, ["k"], "lat", "qps", 3.0).first()["qps"] == 12
     assert ev.best_under(rows, ["k"], "lat", "qps", 0.5).first()["lat"] == 1
-
-
-def test_additive_codes_improve_on_one_book():
-    rng = np.random.default_rng(0)
-    x, books = rng.normal(size=(50, 4)), rng.normal(size=(2, 8, 4))
-    codes = qz.additive_encode(x, books)
-    near = ((x[:, None] - books[0][None]) ** 2).sum(2).min(1)
-    assert ((x - books[0][codes[:, 0]] - books[1][codes[:, 1]]) ** 2).sum() < near.sum()
