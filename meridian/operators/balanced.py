@@ -63,7 +63,9 @@ def _split_level(rows: DataFrame, large: list[int], dims: int, branch: int, bala
     """Rows of some leaves with their child's number in place of their leaf's."""
     spark = rows.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in large], f"{LEAF} long"))
-    own = rows.join(wanted, LEAF, "left_semi").select(ID, VECTOR, LEAF)
+    # in order of leaves, so that a task adds up few of them
+    own = rows.join(wanted, LEAF, "left_semi").select(ID, VECTOR, LEAF, F.xxhash64(ID).alias("dealt_")).repartitionByRange(LEAF, "dealt_")
+    own = cut(own.drop("dealt_"), "level")
     pick = F.row_number().over(Window.partitionBy(LEAF).orderBy(F.xxhash64(ID, F.lit(level)), ID))
     first = own.withColumn("pick", pick).where(F.col("pick") <= branch).collect()  # as many as centres
     place = {leaf: i for i, leaf in enumerate(large)}
