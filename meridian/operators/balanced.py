@@ -27,9 +27,9 @@ _ROWS = f"{ID} long, {VECTOR} array<float>, {LEAF} long"
 
 
 def _apart(x: np.ndarray, centres: np.ndarray, load: np.ndarray, balance: float) -> np.ndarray:
-    """The centre of least distance, a crowded one counting as farther by a share of the mean distance."""
+    """The centre of least distance, a crowded one counting as farther by a share of the mean distance to the nearest."""
     d = np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T, 0)
-    return (d + balance * d.mean() * load[None]).argmin(1)
+    return (d + balance * d.min(1).mean() * load[None]).argmin(1)
 
 
 def split_rows(x: np.ndarray, cap: int, branch: int, balance: float, rounds: int = 4) -> np.ndarray:
