@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from .errors import MeridianError
 from .operators import graph as g
 from .operators import walk as w
+from .operators.cursor import IndexCursor
 from .operators.knn import ID, QUERY, QUERY_VECTOR, VECTOR, knn, merge_top_k
 from .shipping import ship
 from .sources import files
+from .sources.metadata import attach, write_metadata
 
 EARLY_EXIT = ("none", "pruning")
 DTYPES = ("float", "float32", "uint8", "int8")
@@ -37,8 +39,8 @@ class VectorIndex:
             raise MeridianError(f"no index at {path}: {e}") from e
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, degree: int = 16, refine: bool = False) -> VectorIndex:
-        """Neighbour graph from leaves of several trees, with neighbours of neighbours if refined; vectors: vec_id, embedding."""
+    def build(cls, vectors: DataFrame, path: str, degree: int = 16, refine: bool = False, metadata: str | None = None) -> VectorIndex:
+        """Neighbour graph from leaves of several trees, with neighbours of neighbours if refined; vectors: vec_id, embedding, and text or bytes in a column metadata."""
         _positive("degree", degree)
         spark = vectors.sparkSession
         ship(spark)
@@ -51,7 +53,10 @@ class VectorIndex:
         edges = g.leaf_edges(base, 2 * degree, dims[0])
         edges = g.nearer(edges, base, 2 * degree) if refine else edges
         with w.Graph(g.nodes(base, g.both_ways(edges, 2 * degree)), path=f"{path}/graph") as graph:
-            meta = {"dims": dims[0], "degree": degree, "changes": 0, "buckets": graph.buckets, "entry": g.medoid(base)}
+            meta = {"dims": dims[0], "degree": degree, "changes": 0, "buckets": graph.buckets, "entry": g.medoid(base), "metadata": []}
+        if metadata is not None:
+            write_metadata(vectors, f"{path}/metadata", metadata)
+            meta["metadata"].append("metadata")
         files.write(f"{path}/meta.json", [json.dumps(meta).encode()])
         return cls(spark, path)
 
@@ -110,6 +115,20 @@ class VectorIndex:
         parts = [found.join(enough, QUERY, "left_semi"), again, knn(asked, changed.where(F.col(VECTOR).isNotNull()), topk)]
         return merge_top_k(parts, topk)
 
+    def with_metadata(self, rows: DataFrame) -> DataFrame:
+        """rows and, as meta, the bytes last stored for their vec_id; null where there are none."""
+        ship(self.spark)
+        stores, names = self.meta.get("metadata", []), []
+        for i, store in enumerate(reversed(stores)):
+            names.append(f"_meta{i}")
+            rows = attach(rows, f"{self.path}/{store}", ID, names[-1])
+        meta = F.coalesce(*names) if names else F.lit(None).cast("binary")
+        return rows.withColumn("meta", meta).drop(*names)
+
+    def iterator(self, queries: DataFrame | np.ndarray | Sequence, path: str, ef_search: int = 50) -> IndexCursor:
+        """A cursor in a new folder, whose next(k) gives the next k of each query; IndexCursor(spark, path, index) opens it again."""
+        return IndexCursor.create(self._queries(queries), path, self, _positive("ef_search", ef_search))
+
     def search_arrays(self, queries: np.ndarray, topk: int = 10, **options) -> tuple[np.ndarray, np.ndarray]:
         """ids and distances as matrices; places not filled are -1 and infinite."""
         array = np.asarray(queries, np.float32)
@@ -125,8 +144,12 @@ class VectorIndex:
         self.meta["changes"] = n + 1
         files.write(f"{self.path}/meta.json", [json.dumps(self.meta).encode()])
 
-    def add(self, vectors: DataFrame) -> None:
-        """Vectors that are searched exactly until the next build."""
+    def add(self, vectors: DataFrame, metadata: str | None = None) -> None:
+        """Vectors that are searched exactly until the next build. Ids added again without metadata keep what they had."""
+        if metadata is not None:
+            name = f"metadata-{self.meta['changes']}"
+            write_metadata(vectors, f"{self.path}/{name}", metadata)
+            self.meta.setdefault("metadata", []).append(name)
         self._change("added", vectors.select(F.col(ID).cast("long").alias(ID), F.col(VECTOR).cast("array<float>").alias(VECTOR)))
 
     def delete(self, ids: DataFrame) -> None:

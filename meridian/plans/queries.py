@@ -20,11 +20,13 @@ from ..operators import additive, balanced, ivf, kmeans, knn as nn
 from ..operators import walk as walks
 from ..operators import quantize as qz
 from ..operators import rotated
+from ..operators.cursor import Cursor
 from ..operators.rank import ranked
 from ..shipping import ship
 from ..sources import logs
 from ..scratch import cut, scratch_path
 from ..sources.indexes import stripe
+from ..sources.metadata import attach, read_metadata, write_metadata
 from ..streaming import maintain
 from . import bench
 
@@ -1114,6 +1116,40 @@ def bench_recover(spark, d):
     return recover(rows, done, ["user_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+# -- metadata and cursors ------------------------------------------------------
+
+_TEXT = "CASE WHEN vec_id % 7 = 0 THEN NULL ELSE repeat('é;', (vec_id % 5)::INTEGER) || coalesce(label::VARCHAR, 'none') || ':' || vec_id END"
+
+
+def _with_text(base: DataFrame) -> DataFrame:
+    text = F.concat(F.repeat(F.lit("é;"), (F.col(nn.ID) % 5).cast("int")), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit(":"), F.col(nn.ID).cast("string"))
+    return base.select(nn.ID, F.when(F.col(nn.ID) % 7 != 0, text).alias("text"))
+
+
+@query("metadata_scan", f"SELECT vec_id, sha256(coalesce({_TEXT}, '')) AS meta FROM embeddings")
+def metadata_scan(spark, d):
+    path = scratch_path(spark, "metadata")
+    write_metadata(_with_text(_base(spark, d)), path, "text")
+    return read_metadata(spark, path).select(nn.ID, F.sha2("meta", 256).alias("meta"))
+
+
+@query("metadata_found", f"WITH {Q}, d AS (SELECT query_id, vec_id, {_QV} AS dist FROM q, v), t AS ({TOP}) SELECT query_id, rank, t.vec_id, CASE WHEN t.vec_id % 3 <> 1 THEN coalesce({_TEXT.replace('vec_id', 't.vec_id')}, '') END AS meta FROM t JOIN v ON v.vec_id = t.vec_id")
+def metadata_found(spark, d):
+    base, path = _base(spark, d), scratch_path(spark, "metadata")
+    write_metadata(_with_text(base).where(F.col(nn.ID) % 3 != 1), path, "text")
+    found = attach(nn.knn(_asked(base), base, K), path)
+    return found.select(nn.QUERY, "rank", nn.ID, F.col("meta").cast("string").alias("meta"))
+
+
+@query("knn_pages", f"WITH {Q}, d AS (SELECT query_id, vec_id, {_QV} AS dist FROM q, v) SELECT CASE WHEN rank <= 5 THEN 1 WHEN rank <= 12 THEN 2 ELSE 3 END AS page, * FROM ({TOP.replace('<= 10', '<= 15')})")
+def knn_pages(spark, d):
+    base = _base(spark, d)
+    cursor = Cursor.create(_asked(base), scratch_path(spark, "cursor"), base)
+    for size in (5, 7, 3):
+        cursor.next(size)
+    return cursor.given().withColumn("dist", r6(F.col("dist")))
+
+
 @query("latency_windows", "SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value),6)+0.0 AS avg, max(value) AS max FROM events GROUP BY 1,2")
 def latency_windows(spark, d):
     from ..streaming.search import latency_windows as windows

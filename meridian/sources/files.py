@@ -28,6 +28,11 @@ def size(path: str) -> int:
     return info.size
 
 
+def exists(path: str) -> bool:
+    store, inner = resolve(path)
+    return store.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def listing(folder: str) -> list[str]:
     """Names in a folder."""
     store, inner = resolve(folder)
