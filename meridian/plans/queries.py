@@ -23,12 +23,14 @@ from ..operators import rotated
 from ..operators.cursor import Cursor
 from ..operators.rank import ranked
 from ..shipping import ship
-from ..sources import logs
+from ..sources import logs, recovery
 from ..scratch import cut, scratch_path
 from ..sources.indexes import stripe
 from ..sources.metadata import attach, read_metadata, write_metadata
+from ..sources.text import append_csv
 from ..streaming import maintain
 from . import bench
+from .offline import OfflineJob
 
 K, DIMS, CHUNKS, CODES = 10, 64, 8, 64
 #: Lists that a search probes and candidates that are ranked again: recall of 0.9 or more on the test tables, whose vectors hardly cluster.
@@ -1150,6 +1152,37 @@ def knn_pages(spark, d):
     return cursor.given().withColumn("dist", r6(F.col("dist")))
 
 
+# -- offline job and recovery --------------------------------------------------
+
+
+@query("offline_check", "WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 20 = 0) AS q FROM embeddings WHERE embedding IS NOT NULL) SELECT 'lists' AS \"check\", n AS rows, 0 AS bad FROM n UNION ALL SELECT 'ranks', q, 0 FROM n UNION ALL SELECT 'distances', 5 * q, 0 FROM n UNION ALL SELECT 'nearest', q, 0 FROM n")
+def offline_check(spark, d):
+    base = _base(spark, d)
+    job = OfflineJob(base, scratch_path(spark, "offline"), lists=8, nprobe=4, k=5, queries=_asked(base))
+    # a query is a vector: its first result is at distance 0
+    first = job.search()[0].where("rank = 1").agg(F.lit("nearest").alias("check"), F.count("*").alias("rows"), F.sum((F.col("dist") > 0).cast("long")).alias("bad"))
+    return job.check().where(F.col("check") != "slices").unionByName(first)
+
+
+@query("recovered_sweep", "WITH m AS (SELECT event_type AS stem, user_id % 4 AS blocks, event_id FROM events) SELECT 'metrics' AS name, stem, count(*) AS n, sum(event_id)::BIGINT AS ids FROM m WHERE stem IS DISTINCT FROM 'click' OR coalesce(blocks IN (0, 2), false) GROUP BY stem UNION ALL SELECT 'samples', stem, count(*), sum(event_id)::BIGINT FROM m WHERE event_id % 3 <> 0 GROUP BY stem")
+def recovered_sweep(spark, d):
+    """The point of stem click in which every third row was written is interrupted; two settings were completed."""
+    folder = scratch_path(spark, "sweep")
+    rows = _table(spark, d, "events").select(F.col("event_type").alias("stem"), (F.col("user_id") % 4).alias("blocks"), "event_id")
+    for point, part in enumerate((F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0)):
+        append_csv(rows.where(part), f"{folder}/metrics")
+        append_csv(rows.where(part).drop("blocks"), f"{folder}/samples")
+        if not point:
+            recovery.snapshot(folder, f"{folder}/state.json")
+    recovery.recover(spark, folder, f"{folder}/state.json", "click", "blocks", [0, 2])
+    out = None
+    for name in ("metrics", "samples"):
+        kept = spark.read.option("header", True).csv(f"{folder}/{name}").groupBy("stem").agg(F.count("*").alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"))
+        kept = kept.select(F.lit(name).alias("name"), "stem", "n", "ids")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 @query("latency_windows", "SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value),6)+0.0 AS avg, max(value) AS max FROM events GROUP BY 1,2")
 def latency_windows(spark, d):
     from ..streaming.search import latency_windows as windows
