@@ -176,9 +176,11 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT *, cap / weight AS own,
                      (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-        f AS (SELECT s, source_size, CASE WHEN own <= level THEN cap ELSE weight * (SELECT arg_min(level, (own, rank)) FROM l WHERE own > level) END AS target FROM l),
-        q AS (SELECT d.*, f.source_size, f.target, coalesce(sum(size) OVER (PARTITION BY d.s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN f USING (s)),
-        g AS (SELECT *, least(size, greatest(0, floor(target) - start))::BIGINT AS a, least(size, greatest(0, floor(target) - source_size - start))::BIGINT AS b FROM q)
+        f AS (SELECT s, source_size, weight, cap, CASE WHEN own <= level THEN cap ELSE weight * (SELECT arg_min(level, (own, rank)) FROM l WHERE own > level) END AS target FROM l),
+        u AS (SELECT s, weight, unnest(range(1, cap::BIGINT + 1)) AS position FROM f),
+        m AS (SELECT s, count(*) AS cut FROM (SELECT s, row_number() OVER (ORDER BY position / weight, s) AS place FROM u) WHERE place <= (SELECT sum(floor(target)) FROM f) GROUP BY s),
+        q AS (SELECT d.*, f.source_size, f.target, coalesce(cut, 0) AS cut, coalesce(sum(size) OVER (PARTITION BY d.s ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN f USING (s) LEFT JOIN m USING (s)),
+        g AS (SELECT *, least(size, greatest(0, cut - start))::BIGINT AS a, least(size, greatest(0, cut - source_size - start))::BIGINT AS b FROM q)
         SELECT doc_id, size, source_size, target, a + b AS taken, ((a > 0)::INTEGER + (b > 0)::INTEGER) AS times FROM g
     """,
 }

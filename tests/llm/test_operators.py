@@ -354,6 +354,46 @@ def test_mix_meets_its_targets(spark, seed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and not by_source
 
 
+@pytest.mark.parametrize("sources", [[(5, 900), (2, 40), (1, 300)], [(5, 3), (2, 3), (1, 100000)], [(1, 1)], [(5, 700), (2, 0), (1, 2)], [(3, 50)] * 40])
+def test_mix_is_cut_where_words_in_their_order_are(spark, sources):
+    """Packets and the last words against a sort of all words, at budgets before, at and after queues' ends."""
+    rng = random.Random(len(sources))
+    caps = [2 * n for _, n in sources]
+    packets = []
+    for s, (weight, n) in enumerate(sources):
+        at = 0
+        while at < 2 * n:
+            words = min(rng.choice([1, 7, mixing.PACKET]), 2 * n - at)
+            packets.append((f"{s:02}", at, words, (at + words) / weight))
+            at += words
+    order = sorted(((p / weight, f"{s:02}") for s, (weight, n) in enumerate(sources) for p in range(1, 2 * n + 1)))
+    queue = spark.createDataFrame(packets, "source_key string, begin long, words long, finish double")
+    for budget in {1, sum(caps) // 3, sum(caps) - 1, sum(caps)}:
+        left, goals = budget, []
+        for s, (weight, n) in enumerate(sources):
+            share = min(left, caps[s])
+            left -= share
+            goals.append((f"{s:02}", weight, float(share), caps[s]))
+        goal = spark.createDataFrame(goals, "source_key string, weight int, target double, cap long")
+        want = collections.Counter(s for _, s in order[:budget])
+        assert {r.source_key: r.end for r in mixing.cut_sources(queue, goal).collect()} == {f"{s:02}": want[f"{s:02}"] for s in range(len(sources))}
+
+
+def test_mix_of_awkward_rows(spark):
+    """A text of many packets, nulls everywhere, repeated rows, names that clash, no rows, no words."""
+    rows = [(1, "w " * 5000, "a", 0), (None, "x y z", "a", 1), (None, "x y z", "a", 2), (3, None, None, 3), (4, "", "b", 4), (5, "q " * 700, None, 5), (5, "q " * 700, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, words int").withColumn("finish", F.lit("-")).withColumn("end", F.lit(1))
+    got = mixing.fair_queue(docs, [5, 2, 1], 1.5, 2.0, keep={"mine": F.col("words"), "end_": F.col("end")}).collect()
+    assert sorted(r.mine for r in got) == list(range(7)) and all(0 <= r.taken <= 2 * r.size and r.end_ == 1 for r in got)
+    by = collections.Counter()
+    for r in got:
+        by[r.source_size] += r.taken
+    assert by[0] == 0 and all(abs(by[r.source_size] - r.target) <= 1 for r in got) and sum(by.values()) == sum(int(t) for t in {r.source_size: r.target for r in got}.values())
+    assert [r.finish for r in got] == sorted(r.finish for r in got)
+    assert mixing.fair_queue(docs.limit(0), [5, 2, 1], 1.5, 2.0).collect() == []
+    assert [r.taken for r in mixing.fair_queue(docs.where("words in (3, 4)"), [5, 2, 1], 1.5, 2.0).collect()] == [0, 0]
+
+
 # -- 8 -----------------------------------------------------------------------
 
 
