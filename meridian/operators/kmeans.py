@@ -34,14 +34,21 @@ def lloyd(x: np.ndarray, k: int, iterations: int, seed: int = 0) -> tuple[np.nda
     return centres, ((centres**2).sum(1)[None] - 2 * x @ centres.T).argmin(1)
 
 
+def _parts(batch: pa.RecordBatch, centres: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts whose distances from all centres are 2^22 numbers or so."""
+    rows = max(1, (1 << 22) // centres)
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def assign_step(vectors: DataFrame, centres: np.ndarray, penalty: np.ndarray) -> DataFrame:
     """vec_id, centroid_id, dist: the centre of least distance plus penalty; the smaller number among equals."""
     held = vectors.sparkSession.sparkContext.broadcast((np.asarray(centres, float), np.asarray(penalty, float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, penalty = held.value
-        for batch in batches:
-            x = _matrix(batch.column(1)) if batch.num_rows else np.empty((0, centres.shape[1]))
+        for batch in (part for whole in batches for part in _parts(whole, len(centres))):
+            x = _matrix(batch.column(1))
             d = np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T, 0)
             best = (d + penalty[None]).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best), pa.array(d[np.arange(len(best)), best])], [ID, "centroid_id", "dist"])
@@ -56,12 +63,11 @@ def _sums(vectors: DataFrame, centres: np.ndarray, penalty: np.ndarray) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, penalty = held.value
         sums, count = np.zeros(centres.shape), np.zeros(len(centres), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(0))
-                best = ((centres * centres).sum(1)[None] - 2 * x @ centres.T + penalty[None]).argmin(1)
-                np.add.at(sums, best, x)
-                count += np.bincount(best, minlength=len(centres))
+        for part in (part for whole in batches for part in _parts(whole, len(centres))):
+            x = _matrix(part.column(0))
+            best = ((centres * centres).sum(1)[None] - 2 * x @ centres.T + penalty[None]).argmin(1)
+            np.add.at(sums, best, x)
+            count += np.bincount(best, minlength=len(centres))
         own = np.flatnonzero(count)
         if len(own):
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own]), pa.array(sums[own].tolist(), pa.list_(pa.float64()))], ["c", "n", "s"])

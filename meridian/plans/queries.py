@@ -19,7 +19,7 @@ from ..operators import graph as g
 from ..operators import additive, balanced, ivf, kmeans, knn as nn
 from ..operators import walk as walks
 from ..operators import quantize as qz
-from ..operators import rotated
+from ..operators import rotated, tune
 from ..operators.cursor import Cursor
 from ..operators.rank import ranked
 from ..shipping import ship
@@ -282,6 +282,41 @@ def ivf_search(spark, d):
     return _rounded(ivf.search(asked, centroids, lists, K, PROBES))
 
 
+_EVEN = f"n AS (SELECT count(*)::BIGINT AS n, floor(sqrt(count(*)))::BIGINT AS c FROM v), s AS (SELECT (r // (n // c))::BIGINT AS centroid_id, e AS centroid FROM (SELECT e, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM v), n WHERE r % (n // c) = 0 AND r // (n // c) < c), near AS (SELECT e, centroid_id FROM (SELECT e, centroid_id, row_number() OVER (PARTITION BY vec_id ORDER BY {_VC}, centroid_id) AS r FROM v, s) WHERE r = 1), moved AS (SELECT centroid_id, list(x ORDER BY i) AS mean FROM (SELECT centroid_id, i, avg(e[i]) AS x FROM near, (SELECT unnest(range(1,65)) AS i) GROUP BY ALL) GROUP BY centroid_id), m AS (SELECT centroid_id, coalesce(mean, centroid) AS centroid FROM s LEFT JOIN moved USING (centroid_id))"
+_CURVE = "{name} AS (SELECT rank AS nprobe, avg(r) AS recall, stddev_samp(r) / sqrt(count(*)) AS error, avg(rows) / any_value(n) AS scanned FROM (SELECT query_id, rank, sum(found) OVER w / {k} AS r, sum(rows) OVER w AS rows FROM (SELECT p.query_id, p.rank, count(*) FILTER (t.vec_id IS NOT NULL) AS found, count(*) AS rows FROM probes p JOIN lists l USING (centroid_id) LEFT JOIN truth t ON t.query_id = p.query_id AND t.vec_id = l.vec_id WHERE p.{those} GROUP BY 1, 2) WINDOW w AS (PARTITION BY query_id ORDER BY rank)), n GROUP BY 1)"
+_TUNED = f"{Q}, {_EVEN}, {_LISTS}, {_PROBES.rsplit(' WHERE', 1)[0]}), d AS (SELECT query_id, vec_id, {_QV} AS dist FROM q, v), truth AS ({TOP}), {_CURVE.format(name='learnt', those='query_id % 40 = 0', k=K)}, best AS (SELECT coalesce(min(nprobe) FILTER (recall - 1.645 * error >= 0.9), max(nprobe)) AS nprobe FROM learnt)"
+
+
+def _tuned(spark, d):
+    """Lists around as many centroids as the root of the rows; the curve of every second query, and the fewest probes for 0.9 on it."""
+    base = _base(spark, d)
+    asked, centroids = _asked(base), cut(tune.even_centroids(base))
+    lists, probes = cut(ivf.build(base, centroids)), cut(ivf.probe(asked, centroids, centroids.count()))
+    truth = cut(nn.knn(asked, base, K))
+    learnt = tune.curve(probes.where(F.col(nn.QUERY) % 40 == 0), lists, truth.where(F.col(nn.QUERY) % 40 == 0))
+    return asked, lists, probes, truth, learnt
+
+
+@query("ivf_curve", f"WITH {_TUNED} SELECT nprobe, round(recall,6)+0.0 AS recall, round(error,6)+0.0 AS error, round(scanned,6)+0.0 AS scanned FROM learnt")
+def ivf_curve(spark, d):
+    return _tuned(spark, d)[4].select("nprobe", r6(F.col("recall")).alias("recall"), r6(F.col("error")).alias("error"), r6(F.col("scanned")).alias("scanned"))
+
+
+@query("ivf_tuned_search", f"WITH {_TUNED}, e AS (SELECT p.query_id, l.vec_id, {L2.format(a='q.q', b='l.e')} AS dist FROM probes p JOIN best ON rank <= nprobe JOIN lists l USING (centroid_id) JOIN q USING (query_id)) {TOP.replace('FROM d)', 'FROM e)')}")
+def ivf_tuned_search(spark, d):
+    asked, lists, probes, _, learnt = _tuned(spark, d)
+    return _rounded(ivf.scan_lists(probes.where(F.col("rank") <= tune.fewest(learnt, 0.9)), asked, lists, K))
+
+
+@query("ivf_tuned_recall", f"WITH {_TUNED}, {_CURVE.format(name='other', those='query_id % 40 = 20', k=K)} SELECT nprobe, round(recall,6)+0.0 AS recall, round(error,6)+0.0 AS error, round(scanned,6)+0.0 AS scanned FROM other JOIN best USING (nprobe)")
+def ivf_tuned_recall(spark, d):
+    """What the probes learnt on every second query find for the others."""
+    _, lists, probes, truth, learnt = _tuned(spark, d)
+    other = F.col(nn.QUERY) % 40 == 20
+    rows = tune.curve(probes.where(other), lists, truth.where(other)).where(F.col("nprobe") == tune.fewest(learnt, 0.9))
+    return rows.select("nprobe", r6(F.col("recall")).alias("recall"), r6(F.col("error")).alias("error"), r6(F.col("scanned")).alias("scanned"))
+
+
 @query("ivf_preassigned", f"WITH {Q}, {_MEANS}, {_LISTS}, probes AS (SELECT vec_id AS query_id, label::BIGINT AS centroid_id FROM v WHERE vec_id % 20 = 0), d AS (SELECT p.query_id, l.vec_id, {L2.format(a='q.q', b='l.e')} AS dist FROM probes p JOIN lists l USING (centroid_id) JOIN q USING (query_id)) {TOP}")
 def ivf_preassigned(spark, d):
     base, _, asked, lists = _ivf(spark, d)
