@@ -80,6 +80,13 @@ class VectorIndex:
             every = every.unionByName(part)
         return every.groupBy(ID).agg(F.max_by(F.struct(VECTOR), "change").alias("last")).select(ID, f"last.{VECTOR}")
 
+    def vectors(self) -> DataFrame:
+        """vec_id and embedding of all that is in the index, changes included."""
+        rows, changed = self.graph().select(ID, VECTOR), self._changes()
+        if changed is None:
+            return rows
+        return rows.join(changed.select(ID), ID, "left_anti").unionByName(changed.where(F.col(VECTOR).isNotNull()))
+
     def _queries(self, queries: DataFrame | np.ndarray | Sequence) -> DataFrame:
         if not isinstance(queries, DataFrame):
             array = np.asarray(queries, np.float32)

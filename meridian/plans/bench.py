@@ -23,9 +23,10 @@ def named(points: DataFrame, names: dict[str, str]) -> DataFrame:
     return points.withColumn("system", out)
 
 
-def select(points: DataFrame, systems: list[str], dataset: str | None = None, pipe_width: int | None = None, queries: list[int] | None = None) -> DataFrame:
-    """Points that count: measured, without a variant, of the fixed settings."""
-    rows = points.where(F.col("system").isin(*systems) & (F.col("qps") > 0) & (F.col("blocks") > 0))
+def select(points: DataFrame, systems: list[str] | None = None, dataset: str | None = None, pipe_width: int | None = None, queries: list[int] | None = None) -> DataFrame:
+    """Points that count: measured, without a variant, of the fixed settings; of all systems if none is named."""
+    rows = points.where((F.col("qps") > 0) & (F.col("blocks") > 0))
+    rows = rows if systems is None else rows.where(F.col("system").isin(*systems))
     if "variant" in points.columns:
         rows = rows.where(F.coalesce(F.col("variant"), F.lit("")) == "")
     if dataset is not None:
@@ -73,6 +74,26 @@ def sensitivity(points: DataFrame) -> DataFrame:
     return rows.withColumn("gain", F.col("qps") / F.first("qps").over(Window.partitionBy("system").orderBy("q")))
 
 
+def utilisation(points: DataFrame, keys: list[str], active: str = "active_mean", pipe_width: int = 1) -> DataFrame:
+    """keys, q and active: the greatest mean activity by queries in flight, of points of the pipe width; where a key has none at a q, of all its points there."""
+    rows = points.where(F.col(active).isNotNull()).withColumn("q", F.col("queries_per_block") * F.col("pipe_width"))
+    own = F.max(F.when(F.col("pipe_width") == pipe_width, F.col(active)))
+    return rows.groupBy(*keys, "q").agg(F.coalesce(own, F.max(active)).alias(active))
+
+
+def compared_fronts(ours: DataFrame, theirs: DataFrame, keys: list[str], latency: str, cap: float) -> DataFrame:
+    """keys, side, qps and latency of two sides' fronts: ours up to a cap on latency, theirs without one.
+
+    ours and theirs: keys, qps, latency; rows without a measurement (null, not a
+    number, infinite, or of no throughput on our side) are no points.
+    """
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    columns = [*keys, "qps", latency]
+    left = ours.where(real("qps") & real(latency) & (F.col("qps") > 0) & (F.col(latency) <= cap)).select(*columns, F.lit("ours").alias("side"))
+    right = theirs.where(real("qps") & real(latency)).select(*columns, F.lit("theirs").alias("side"))
+    return pareto(left.unionByName(right), [*keys, "side"], latency, "qps").select(*columns, "side")
+
+
 def hop_means(samples: DataFrame) -> DataFrame:
     """Mean wait and compute of each hop but the first."""
     return samples.where("hop > 0").groupBy("system", "hop").agg(F.avg("wait_us").alias("wait_us"), F.avg("compute_us").alias("compute_us"))

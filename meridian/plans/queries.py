@@ -1100,9 +1100,7 @@ def _bench(spark, d) -> DataFrame:
 
 @query("bench_fronts", f"WITH {_BENCH}, o AS (SELECT *, max(qps) OVER (PARTITION BY system, dataset, ef ORDER BY p99_ms, qps DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b WHERE p99_ms <= 300 AND blocks > 0) SELECT system, dataset, ef, qps, p99_ms FROM o WHERE best IS NULL OR qps > best")
 def bench_fronts(spark, d):
-    points = _bench(spark, d)
-    systems = [r[0] for r in points.select("system").distinct().collect()]
-    rows = bench.select(points, systems, pipe_width=2)
+    rows = bench.select(_bench(spark, d), pipe_width=2)
     return bench.latency_fronts(rows, ["system", "dataset", "ef"], "p99_ms", 300.0).select("system", "dataset", "ef", "qps", "p99_ms")
 
 
@@ -1123,6 +1121,19 @@ def bench_sensitivity(spark, d):
     return bench.sensitivity(_bench(spark, d)).select("system", "q", "qps", r6(F.col("gain")).alias("gain"))
 
 
+@query("bench_utilisation", "WITH u AS (SELECT event_type AS system, (1 + user_id % 3) * (1 + user_id % 2) AS q, 1 + user_id % 2 AS pipe_width, avg(value) AS active FROM events GROUP BY event_type, user_id % 3, user_id % 2, user_id % 5) SELECT system, q, round(coalesce(max(active) FILTER (pipe_width = 1), max(active)),6)+0.0 AS active_mean FROM u GROUP BY 1,2")
+def bench_utilisation(spark, d):
+    u = F.col("user_id")
+    points = _events(spark, d).groupBy(F.col("event_type").alias("system"), (1 + u % 3).alias("queries_per_block"), (1 + u % 2).alias("pipe_width"), (u % 5).alias("ef")).agg(F.avg("value").alias("active_mean"))
+    return bench.utilisation(points, ["system"]).select("system", "q", r6(F.col("active_mean")).alias("active_mean"))
+
+
+@query("bench_compared", f"WITH {_BENCH}, c AS (SELECT system, qps, p99_ms, CASE WHEN dataset = 'a' THEN 'ours' ELSE 'theirs' END AS side FROM b WHERE dataset = 'b' OR p99_ms <= 200), o AS (SELECT *, max(qps) OVER (PARTITION BY system, side ORDER BY p99_ms, qps DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c) SELECT system, qps, p99_ms, side FROM o WHERE best IS NULL OR qps > best")
+def bench_compared(spark, d):
+    points = _bench(spark, d)
+    return bench.compared_fronts(points.where("dataset = 'a'"), points.where("dataset = 'b'"), ["system"], "p99_ms", 200.0)
+
+
 @query("bench_recall_bucket", f"WITH {_BENCH} SELECT dataset, ef, CASE WHEN dataset='a' AND ef=1 THEN 0.9::DOUBLE WHEN dataset='b' AND ef=2 THEN 0.96::DOUBLE END AS target_recall, max(qps) AS qps FROM b GROUP BY 1,2,3")
 def bench_recall_bucket(spark, d):
     rows = bench.with_recall(_bench(spark, d), [("a", 1, 0.9), ("b", 2, 0.96)])
