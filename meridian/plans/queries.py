@@ -291,7 +291,7 @@ def _tuned(spark, d):
     """Lists around as many centroids as the root of the rows; the curve of every second query, and the fewest probes for 0.9 on it."""
     base = _base(spark, d)
     asked, centroids = _asked(base), cut(tune.even_centroids(base))
-    lists, probes = cut(ivf.build(base, centroids)), cut(ivf.probe(asked, centroids, centroids.count()))
+    lists, probes = cut(ivf.clustered(ivf.build(base, centroids))), cut(ivf.probe(asked, centroids, centroids.count()))
     truth = cut(nn.knn(asked, base, K))
     learnt = tune.curve(probes.where(F.col(nn.QUERY) % 40 == 0), lists, truth.where(F.col(nn.QUERY) % 40 == 0))
     return asked, lists, probes, truth, learnt
@@ -305,7 +305,7 @@ def ivf_curve(spark, d):
 @query("ivf_tuned_search", f"WITH {_TUNED}, e AS (SELECT p.query_id, l.vec_id, {L2.format(a='q.q', b='l.e')} AS dist FROM probes p JOIN best ON rank <= nprobe JOIN lists l USING (centroid_id) JOIN q USING (query_id)) {TOP.replace('FROM d)', 'FROM e)')}")
 def ivf_tuned_search(spark, d):
     asked, lists, probes, _, learnt = _tuned(spark, d)
-    return _rounded(ivf.scan_lists(probes.where(F.col("rank") <= tune.fewest(learnt, 0.9)), asked, lists, K))
+    return _rounded(ivf.scan_blocked(probes.where(F.col("rank") <= tune.fewest(learnt, 0.9)), asked, lists, K))
 
 
 @query("ivf_tuned_recall", f"WITH {_TUNED}, {_CURVE.format(name='other', those='query_id % 40 = 20', k=K)} SELECT nprobe, round(recall,6)+0.0 AS recall, round(error,6)+0.0 AS error, round(scanned,6)+0.0 AS scanned FROM other JOIN best USING (nprobe)")

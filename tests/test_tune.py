@@ -16,7 +16,7 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
 
 
-def test_curve_is_what_searches_find(spark):
+def test_curve_is_what_searches_find(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(150, 4)).round(3)
     base = vectors(spark, [(7 * i + 3, v) for i, v in enumerate(x)])  # ids with gaps
@@ -30,9 +30,14 @@ def test_curve_is_what_searches_find(spark):
         steps = {r.nprobe: r for r in tune.curve(probes, lists, truth).collect()}
         wanted = {(r.query_id, r.vec_id) for r in truth.collect()}
         entries = lists.count()
-        for n in (1, 3, 7, 12):
+        for n in (1, 4, 12):
             near = probes.where(probes["rank"] <= n)
             found = {(r.query_id, r.vec_id) for r in ivf.scan_lists(near, queries, lists, 5).collect()}
+            exact = [tuple(r) for r in ivf.scan_lists(near, queries, lists, 5).orderBy("query_id", "rank").collect()]
+            for bound in (1 << 30, 1 << 11):  # one block, many
+                monkeypatch.setattr(ivf, "BLOCK_BYTES", bound)
+                blocked = ivf.scan_blocked(near, queries, lists, 5).orderBy("query_id", "rank").collect()
+                assert [tuple(r)[:3] for r in blocked] == [r[:3] for r in exact] and [r.dist for r in blocked] == pytest.approx([r[3] for r in exact])
             scanned = near.join(lists, "centroid_id").count()
             assert steps[n].recall == pytest.approx(len(found & wanted) / len(wanted))
             assert steps[n].scanned == pytest.approx(scanned / entries / queries.count())
