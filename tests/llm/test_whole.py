@@ -179,3 +179,30 @@ def test_recall_of_long_lines(spark):
     found = linked(spark, pairs) / len(pairs)
     print(f"recall of long lines at 0.80 to 0.85: {found:.3f}")
     assert found >= 0.9
+
+
+def test_long_lines_are_signed_by_all_shingles(spark):
+    """Pairs of similarity 0.80 to 0.85 whose words nearly all differ: pairs of words wouldn't meet."""
+    rng = random.Random(12)
+    pairs = []
+    while len(pairs) < 100:
+        line = " ".join(letters(rng, rng.randint(20, 30)) for _ in range(rng.randint(13, 30)))
+        other = " ".join(edited(rng, w) if rng.random() < 0.6 else w for w in line.split(" "))
+        if 0.80 <= line_jaccard(line, other) <= 0.85:
+            pairs.append((line, other))
+    assert linked(spark, pairs) >= 98
+
+
+def test_split_buckets_are_finished_by_pairs(spark, monkeypatch):
+    """Lines outside a bucket's largest component meet all others, by pairs and by prefixes alike."""
+    rng = random.Random(13)
+    lines = [f"{letters(rng, 30)} {letters(rng, 30)}" for _ in range(12)]
+    lines += [edited(rng, x) for x in lines]
+    rows = spark.createDataFrame([(1, i, 0, 0 if i < 6 else i) for i in range(24)], "key int, h long, sketch long, root long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    want = {(i, i + 12) for i in range(12)}
+    for work in (linededup.WORK, 0):
+        monkeypatch.setattr(linededup, "WORK", work)
+        got = {(r.a, r.b) for r in linededup._remaining(rows, texts, 0.5, []).collect()}
+        assert want <= got
+        assert not any(a < 6 and b < 6 for a, b in got)
