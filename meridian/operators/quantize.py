@@ -174,23 +174,9 @@ def score_clusters(queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, dist: a matrix product for the queries and members of each cluster.
 
     queries: centroid_id, query_id, q; members: centroid_id, vec_id, embedding.
-    Queries of a cluster are a stated set; members come in Arrow batches beside
-    them, so a large cluster is never held whole. Partial results are cut to k.
+    Queries are a stated set, sent in blocks; members come in Arrow batches, so
+    a large cluster is never held whole. Results are cut to k a query.
     """
-    asked = queries.groupBy("centroid_id").agg(F.collect_list(F.struct(QUERY, F.col(QUERY_VECTOR).cast("array<double>").alias("v"))).alias("asked"))
-    joined = members.select("centroid_id", ID, as_double(F.col(VECTOR)).alias(VECTOR)).join(asked, "centroid_id").select("centroid_id", ID, VECTOR, "asked")
+    from .ivf import scan_blocked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .knn import _nearest
-
-        for batch in batches:
-            cluster = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in np.unique(cluster):
-                at = np.flatnonzero(cluster == c)
-                asked = batch.column(3)[int(at[0])].as_py()
-                part = batch.take(pa.array(at))
-                numbers = np.array([a[QUERY] for a in asked])
-                row, ids, value = _nearest(np.array([a["v"] for a in asked]), part.column(1).to_numpy(), _matrix(part.column(2)), k, "l2")
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), pa.array(ids), pa.array(value)], [QUERY, ID, "dist"])
-
-    return joined.mapInArrow(run, f"{QUERY} long, {ID} long, dist double")
+    return scan_blocked(queries.select(QUERY, "centroid_id"), queries.select(QUERY, QUERY_VECTOR).dropDuplicates([QUERY]), members, k).select(QUERY, ID, "dist")

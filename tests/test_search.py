@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from meridian.index import VectorIndex
+from meridian.operators import ivf, knn as nn
 from meridian.plans import bench
 from meridian.search import main
 from meridian.sources.vectors import read_vectors, write_vectors
@@ -72,3 +73,29 @@ def test_compared_fronts_and_utilisation(spark):
     assert got == {("ours", 10.0), ("ours", 20.0), ("theirs", 1.0), ("theirs", 3.0)}
     points = spark.createDataFrame([("s", 2, 1, 50.0), ("s", 2, 1, 60.0), ("s", 1, 2, 90.0), ("s", 3, 2, 70.0), ("s", 1, 1, None)], "system string, queries_per_block int, pipe_width int, active_mean double")
     assert {(r.q, r.active_mean) for r in bench.utilisation(points, ["system"]).collect()} == {(2, 60.0), (6, 70.0)}
+
+
+def test_nearest_rows_are_kept_by_parts_of_queries():
+    """Batch after batch, with the distance of the last row that is kept as a bound: as one search over all rows."""
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(11, 5)), rng.normal(size=(400, 5))
+    x[300:320] = x[:20]  # ties
+    kept = nn.Kept(6)
+    for i in range(0, 400, 40):
+        for a in range(0, 11, 4):
+            some = slice(a, min(a + 4, 11))
+            kept.add(some, nn._nearest(q[some], np.arange(i, i + 40), x[i : i + 40], 6, "l2", None, kept.limit(some)))
+    got = {(r, i) for b in kept.batch(np.arange(11)) for r, i in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)}
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    assert got == {(r, int(i)) for r in range(11) for i in np.lexsort((np.arange(400), d[r]))[:6]}
+
+
+def test_lists_are_scanned_without_a_row_for_each_pair(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 0.0], i % 3) for i in range(60)], "vec_id long, embedding array<double>, label int")
+    asked = nn.as_queries(vectors.where("vec_id % 20 = 0"))
+    lists = ivf.build(vectors, ivf.label_centroids(vectors))
+    found = ivf.search(asked, ivf.label_centroids(vectors), lists, 4, 3)
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "zip_with" not in found._jdf.queryExecution().toString()
+    near = nn.within(asked, vectors, 4.0)
+    assert "zip_with" not in near._jdf.queryExecution().toString()
+    assert {(r.query_id, r.vec_id) for r in near.collect()} == {(i, j) for i in (0, 20, 40) for j in range(60) if (i - j) ** 2 <= 4}
