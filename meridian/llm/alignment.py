@@ -29,6 +29,7 @@ Other columns aren't read, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,8 +46,8 @@ from ._shared import cut, most_frequent, slices
 HEAD, UNITS = 1 << 20, 1 << 18
 #: A pair of ids as one number.
 SIDE = 32
-#: Bytes of units that are tokenised as one text.
-CHUNK = 1 << 11
+#: Bytes of units that are tokenised as one text, bytes of texts that are aligned at a time, and units that are tokenised at a time.
+CHUNK, PART, NEW = 1 << 11, 1 << 19, 1 << 12
 _MARK = "▁".encode()
 _PRINTING = np.zeros(256, bool)
 _PRINTING[0x21:0x7F] = True
@@ -113,6 +114,12 @@ class Tokenizers:
         return np.concatenate([empty, *a]), n[0], np.concatenate([empty, *b]), n[1]
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizers(path_a: str, path_b: str) -> Tokenizers:
+    """Both tokenizers, loaded once in a worker, not once a task."""
+    return Tokenizers(path_a, path_b)
+
+
 def by_neighbour(units: list[bytes]) -> tuple[list[bytes], int]:
     """Units in an order in which the first of them, as many as the number says, are cut from each other as cut_units cuts.
 
@@ -247,8 +254,8 @@ class Memory:
         if len(self.place) > self.most:
             self.clear()
         new = [u for u in units if u not in self.place]
-        for i in range(0, len(new), 1 << 15):
-            own, together = by_neighbour(new[i : i + (1 << 15)]) if self.tokenizers.cuts else (new[i : i + (1 << 15)], 0)
+        for i in range(0, len(new), NEW):
+            own, together = by_neighbour(new[i : i + NEW]) if self.tokenizers.cuts else (new[i : i + NEW], 0)
             a, n_a, b, n_b = self.tokenizers.encode(own, together)
             self.parts.append(align(own, [a, b], [n_a, n_b], self.tokenizers.bytes_a, self.tokenizers.bytes_b))
             at = len(self.place)
@@ -306,9 +313,9 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and a document's distinct pairs with how often it links each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(Tokenizers(path_a, path_b))
+        memory = Memory(tokenizers(path_a, path_b))
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, PART):
                 counts, digests, owner, pair, times = align_texts(memory, part.column(0))
                 columns = [part.column(1), part.column(2), *(pa.array(c) for c in counts.T), pa.array(digests), _lists(pair, owner, part.num_rows), _lists(times, owner, part.num_rows)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
@@ -316,6 +323,10 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
     return docs.select(F.col(text_column).alias("text"), F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id")).mapInArrow(run, _OUT)
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs summed over a few batches."""
 
@@ -366,7 +377,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, id_co
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, count, b, best = held.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             row, mine, times, at, hit = look(batch)
             row, times, n = row[hit], times[hit], count[at[hit]]
             first = n == best[np.searchsorted(b, mine[hit] & ((1 << SIDE) - 1))]
@@ -376,7 +387,7 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, head: int = HEAD, id_co
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(sums[1]), pa.array(sums[0])], [*batch.schema.names[:7], "n_best", "count_sum"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             row, mine, times, _, hit = look(batch)
             ids = batch.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[~hit]]), pa.array(mine[~hit]), pa.array(times[~hit])], ["row", "pair", "times"])

@@ -100,3 +100,13 @@ def test_counts_of_the_corpus(spark, tokenizers, head):
     got = alignment.alignment(docs, *PATHS, head=head)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert collections.Counter(map(tuple, got.collect())) == expected
+
+
+def test_few_units_and_pairs_are_held_at_a_time(tokenizers, monkeypatch):
+    sizes, encode = [], tokenizers.encode
+    monkeypatch.setattr(tokenizers, "encode", lambda units, together: sizes.append(len(units)) or encode(units, together))
+    places = alignment.Memory(tokenizers).look([b" %d" % i for i in range(10_000)])
+    assert sorted(places.tolist()) == list(range(10_000)) and max(sizes) <= 4096
+    assert alignment.PART <= 1 << 19
+    assert [p.num_rows for p in alignment._parts(pa.record_batch({"x": pa.array(range(2500))}))] == [1024, 1024, 452]
+    assert alignment.tokenizers(*PATHS) is alignment.tokenizers(*PATHS)
