@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from meridian.llm import linededup, neardup
 from meridian.llm._shared import text_bytes
@@ -206,3 +207,34 @@ def test_split_buckets_are_finished_by_pairs(spark, monkeypatch):
         got = {(r.a, r.b) for r in linededup._remaining(rows, texts, 0.5, []).collect()}
         assert want <= got
         assert not any(a < 6 and b < 6 for a, b in got)
+
+
+def test_pairs_of_large_buckets_are_few_and_whole(spark):
+    """Copies below and above the threshold in one bucket, and in two that share most lines: little but similar pairs is left, each once, and no similar one is missing."""
+    rng = random.Random(14)
+    base = [letters(rng, 6) for _ in range(50)]
+    lines = sorted({" ".join(letters(rng, 6) if rng.random() < 0.03 else w for w in base) for _ in range(70)})
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    rows = spark.createDataFrame([(key, i, i) for key in (1, 2) for i in range(len(lines)) if key == 1 or i % 5], "key int, h long, root long")
+    similarity = {(i, j): line_jaccard(lines[i], lines[j]) for j in range(len(lines)) for i in range(j)}
+    want = {p for p, s in similarity.items() if s >= 0.8}
+    fine = linededup._fine_marks(texts).withColumn("sketch", F.lit(0).cast("long"))
+    got = [(r.a, r.b) for r in linededup._remaining(rows, texts, 0.8, [], fine).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert all(similarity[p] >= 0.75 for p in got) and len(want) < len(got) + 1 < len(similarity)
+
+
+def test_marks_lose_no_similar_pair(spark):
+    """Lines of all lengths, with repeats: what the bitmaps of signed lines say apart is below the threshold."""
+    rng = random.Random(15)
+    lines = ["abc", "abcd", "a" * 40, "ab " * 300, "x" * 3]
+    while len(lines) < 120:
+        line = " ".join(letters(rng, rng.randint(2, 9)) for _ in range(rng.choice([1, 3, 10, 60, 300])))
+        lines += [line, edited(rng, line), line + " " + line[: len(line) // 8]]
+    rows = linededup.line_rows(spark.createDataFrame(list(enumerate(lines)), "id long, text string"), "text", F.col("id"))
+    marks = linededup.signed_lines(rows, linededup.BANDS, linededup.ROWS).where("main").withColumn("sketch", F.lit(0).cast("long"))
+    x, y = (marks.select(F.col("first").alias(s), *linededup._named(marks, s)) for s in "ab")
+    kept = {(r.a, r.b) for r in x.join(y, F.expr("a < b")).where(linededup._likely(marks, 0.8)).select("a", "b").collect()}
+    first = {x: i for i, x in reversed(list(enumerate(lines)))}
+    want = {(i, j) for x, i in first.items() for y, j in first.items() if i < j and line_jaccard(x, y) >= 0.8}
+    assert len(want) > 20 and want <= kept
