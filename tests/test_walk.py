@@ -84,3 +84,23 @@ def test_ranks_are_global(spark):
     expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -r[1]))
     assert got == {b: i for i, (_, b) in enumerate(expected)}
     assert rank.ranked(table.limit(0), "a").isEmpty()
+
+
+def test_beams_hold_no_neighbours_and_meet_no_more_than_they_hold(spark, monkeypatch):
+    base = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<float>").persist()
+    edges = base.where("vec_id > 0").selectExpr("0L AS src", "vec_id AS dst", "1.0D AS dist")  # a hub
+    met, sizes = walk._met, []
+
+    def seen(*args):
+        out = met(*args)
+        sizes.append(out.agg(F.max(F.size("near"))).first()[0])
+        return out
+
+    monkeypatch.setattr(walk, "_met", seen)
+    asked = knn.as_queries(base.where("vec_id in (7, 250)"))
+    with walk.Graph(graph.nodes(base, edges), 2) as g:
+        found = walk.walk(asked, g, walk.entry_of_all(asked, base.where("vec_id = 0")), 3, 5, 2)
+        assert "neighbors" not in found.rounds.schema.simpleString()
+        got = sorted((r.query_id, r.rank, r.vec_id) for r in found.results().collect())
+    assert got == [(7, 1, 7), (7, 2, 6), (7, 3, 8), (250, 1, 250), (250, 2, 249), (250, 3, 251)]
+    assert max(s for s in sizes if s) == 5
